@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cardspark.llm import language_id, toxicity
 from cardspark.llm.common import table, tokenizer_path
+from cardspark.llm.language_id import remainder
 from cardspark.llm.packing import pack
 from cardspark.llm.range_join import linked_vectors
 from cardspark.llm.token_counts import token_counts
@@ -23,6 +26,13 @@ def op2_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labelled = documents.select("doc_id", "text").where(remainder("doc_id", 5) != 0).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    lexicon = toxicity.fit(labelled, "text", "toxic")
+    return toxicity.score_toxicity(documents, lexicon, keep=("doc_id",)).select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep=("doc_id",), ids=False)
 
@@ -35,6 +45,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, window=4096)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language_id.fit(documents.where(remainder("doc_id", 4) != 2), "text", "lang")
+    return language_id.identify(documents, model, keep=("doc_id",)).select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 #: Host and path rules with their verdicts.
 URL_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
@@ -46,9 +62,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_embedding_range_join": op2_embedding_range_join,
+    "op3_toxicity": op3_toxicity,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_packing": op7_packing,
+    "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
 }
 
@@ -78,6 +96,7 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 5""",
+    "op9_language_id": op9_language_id,
     "op10_url_filter": f"""
         WITH u AS (SELECT page_id, url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
                           CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
