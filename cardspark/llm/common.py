@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -54,3 +54,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def accepted_rows(df: DataFrame, text: str, judge: Callable[[], Callable[[list[str | None]], Iterable[bool]]]) -> DataFrame:
+    """The rows whose text ``judge`` accepts, with all their columns as they are.
+
+    ``judge`` is called once in each task and gives what says of a list of texts which to keep.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = judge()
+        for batch in slices(batches, text):
+            yield batch.filter(pa.array(list(keep(batch.column(text).to_pylist())), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -11,7 +11,7 @@ whose cross-entropy is far above what held-back sample rows show for that langua
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardspark.llm import bpe
-from cardspark.llm.common import slices
+from cardspark.llm.common import accepted_rows, slices
 
 UNKNOWN = "und"
 #: Longest n-gram; discount; rows of the sample for each language, of which one in five calibrates.
@@ -235,20 +235,46 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, characters = shared.value, Characters(letters)
         for batch in slices(batches, "__text", 1 << 20):
-            texts = batch.column("__text").to_pylist()
-            if own is None:
-                names, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-            else:
-                codes, ends = characters.read(texts)
-                lettered = np.diff(ends, prepend=0) > 2
-                best, score, rejected = own.judge(*own.entropies(codes, ends), share, sigmas)
-                names = [own.languages[b] if some else UNKNOWN for b, some in zip(best, lettered)]
-                score, rejected = np.where(lettered, score, 0.0), rejected | ~lettered
+            names, score, rejected = judged(own, characters, batch.column("__text").to_pylist(), share, sigmas)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=[*keep, "lang_pred", "score", "rejected"])
 
     return df.select(*keep, df[text].cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def judged(model: Model | None, characters: Characters, texts: list[str | None], share: float, sigmas: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and whether it is rejected, of each text."""
+    if model is None:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+    codes, ends = characters.read(texts)
+    lettered = np.diff(ends, prepend=0) > 2
+    best, score, rejected = model.judge(*model.entropies(codes, ends), share, sigmas)
+    return [model.languages[b] if some else UNKNOWN for b, some in zip(best, lettered)], np.where(lettered, score, 0.0), rejected | ~lettered
+
+
+def accepted(df: DataFrame, model: Model | None, text: str = "text", share: float = 0.75, sigmas: float = 3.0) -> DataFrame:
+    """The rows of ``df`` whose text is not rejected (see :func:`identify`), with all their columns."""
+    letters = bpe.classes()["letter"]
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+
+    def judge() -> Callable[[list[str | None]], np.ndarray]:
+        own, characters = shared.value, Characters(letters)
+
+        def keep(texts: list[str | None]) -> np.ndarray:
+            out, start = [], 0
+            while start < len(texts):  # some megabytes at once
+                stop, size = start, 0
+                while stop < len(texts) and (stop == start or size < 1 << 20):
+                    size += len(texts[stop] or "")
+                    stop += 1
+                out.append(~judged(own, characters, texts[start:stop], share, sigmas)[2])
+                start = stop
+            return np.concatenate(out)
+
+        return keep
+
+    return accepted_rows(df, text, judge)
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of a column as text, modulo ``divisor``; rows without a value have none."""
     return F.crc32(F.col(column).cast("string")) % divisor

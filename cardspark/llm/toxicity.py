@@ -12,7 +12,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardspark.llm.common import slices
+from cardspark.llm.common import accepted_rows, slices
 
 #: Labelled rows of each class that are learnt from: those whose texts have the smallest hashes.
 SAMPLE_ROWS = 4000
@@ -233,3 +233,14 @@ def score_toxicity(df: DataFrame, lexicon: Lexicon, text: str = "text", keep: tu
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(found, pa.list_(pa.string()))], names=[*keep, "score", "predicted", "terms"])
 
     return df.select(*keep, df[text].cast("string").alias("__text")).mapInArrow(run, schema)
+
+
+def accepted(df: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``df`` whose text scores below ``threshold``, with all their columns."""
+    shared = df.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the sample
+
+    def judge() -> Callable[[list[str | None]], np.ndarray]:
+        own = shared.value
+        return lambda texts: own.score(np.array([own.features(folded(t or "")) for t in texts])) < threshold
+
+    return accepted_rows(df, text, judge)
