@@ -22,17 +22,27 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Session setting under which a query's shuffle files go when the query is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder; lineage ends there.
 
     The folder is the one the session names in ``spark.checkpoint.dir``.  Only where none is
-    named (a local test session) is a folder of our own set.
+    named (a local test session) is a folder of our own set.  The shuffle files of the job that
+    wrote it are removed at once: nothing reads them again.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
