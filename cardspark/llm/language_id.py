@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardspark.llm import bpe
-from cardspark.llm.common import accepted_rows, slices
+from cardspark.llm.common import accepted_rows, checkpointed, slices
 
 UNKNOWN = "und"
 #: Longest n-gram; discount; rows of the sample for each language, of which one in five calibrates.
@@ -180,7 +180,8 @@ def fit(learnable: DataFrame, text: str, language: str, rows: int = SAMPLE_ROWS)
     marked = learnable.select(F.col(language).cast("string").alias("l"), F.col(text).cast("string").alias("t")).where("l IS NOT NULL AND t IS NOT NULL")
     order = Window.partitionBy("l").orderBy("h")
     chosen = marked.select("l", F.xxhash64("t").alias("h")).distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows)
-    sample = marked.withColumn("h", F.xxhash64("t")).join(F.broadcast(chosen), ["l", "h"]).dropDuplicates(["l", "h"])  # bounded by rows and languages
+    sample = marked.withColumn("h", F.xxhash64("t")).join(F.broadcast(chosen), ["l", "h"]).dropDuplicates(["l", "h"])
+    sample = checkpointed(sample)  # bounded by rows and languages
     letters = bpe.classes()["letter"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,8 +30,7 @@ def op2_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    labelled = documents.select("doc_id", "text").where(remainder("doc_id", 5) != 0).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    lexicon = toxicity.fit(labelled, "text", "toxic")
+    lexicon = toxicity.fit(documents, table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0))
     return toxicity.score_toxicity(documents, lexicon, keep=("doc_id",)).select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 

@@ -21,7 +21,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardspark.llm.common import accepted_rows, slices
+from cardspark.llm.common import accepted_rows, checkpointed, slices
 
 #: Labelled rows of each class that are learnt from: those whose texts have the smallest hashes.
 SAMPLE_ROWS = 4000
@@ -144,17 +144,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(b.tolist())
 
 
-def fit(labelled: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """A lexicon from at most ``rows`` rows of each class (label 1, label 0).
+def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", id_column: str = "doc_id", rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """A lexicon from at most ``rows`` labelled documents of each class (label 1, label 0).
 
-    Rows without text or label teach nothing.  Without any toxic row the lexicon is empty.  Phrases
-    in which terms stand in rows of the other class, and never in toxic ones, become exceptions
-    beside those given.
+    ``labels`` has the documents' ids and labels.  Rows without text, id or label teach nothing.
+    Without any toxic row the lexicon is empty.  Phrases in which terms stand in rows of the other
+    class, and never in toxic ones, become exceptions beside those given.
     """
-    marked = labelled.select(F.col(label).cast("int").alias("y"), F.col(text).cast("string").alias("t")).where("y IN (0, 1) AND t IS NOT NULL").withColumn("h", F.xxhash64("t"))
-    keys = marked.select("y", "h").distinct()
-    chosen = keys.where("y = 1").orderBy("h").limit(rows).unionByName(keys.where("y = 0").orderBy("h").limit(rows))
-    sample = marked.join(F.broadcast(chosen), ["y", "h"]).dropDuplicates(["y", "h"])  # bounded by rows
+    bodies = documents.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
+    marks = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("y")).where("y IN (0, 1)")
+    # Only hashes travel; then the bounded number of chosen ids goes to the texts.
+    keys = bodies.select("id", F.xxhash64("t").alias("h")).join(marks, "id")
+    picked = [keys.where(F.col("y") == y).groupBy("h").agg(F.min("id").alias("id")).orderBy("h").limit(rows).select("id", F.lit(y).alias("y")) for y in (0, 1)]
+    chosen = checkpointed(picked[0].unionByName(picked[1]).dropDuplicates(["id"]))
+    sample = checkpointed(bodies.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("y", "t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}

@@ -23,9 +23,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that score below one half; the lexicon is learnt from the labelled ones."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    lexicon = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"), "text", "toxic")
-    return toxicity.accepted(docs, lexicon)
+    return toxicity.accepted(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
