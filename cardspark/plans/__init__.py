@@ -1 +1 @@
-"""Plans."""
+"""Registered queries."""

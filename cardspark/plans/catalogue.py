@@ -1,24 +1,14 @@
-"""Registered queries with their oracles."""
+"""All registered queries with their oracles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from cardspark.plans import answers, models, relational  # noqa: F401  each registers its queries
+from cardspark.plans.registry import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = "outer_join_identity"
 
-FLAGSHIP = "scan_count"
 
-
-def scan_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.count(F.lit(1)).alias("n"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"scan_count": scan_count}
-ORACLES: dict[str, str] = {"scan_count": "SELECT count(*) AS n FROM orders"}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return QUERIES
 
 

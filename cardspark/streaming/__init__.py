@@ -1 +1 @@
-"""Streaming."""
+"""Model maintenance over streams."""
