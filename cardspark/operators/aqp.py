@@ -20,10 +20,11 @@ def estimates(sample: DataFrame, rate: float, features: Column, groups: list[str
     x = features.cast("double")
     some = F.when(x.isNotNull(), w)
     base = sample.groupBy(*groups).agg(F.sum(w).alias("__w"), F.sum(some).alias("__wx"), F.sum(w * x).alias("__s"), F.sum(w * x * x).alias("__s2"), F.count(x).alias("__n"))
-    mean = F.col("__s") / F.col("__wx")
-    spread = F.sqrt(F.greatest(F.col("__s2") / F.col("__wx") - mean * mean, F.lit(0.0)) / F.col("__n"))
+    known = F.nullif(F.col("__wx"), F.lit(0.0))
+    mean = F.col("__s") / known
+    spread = F.sqrt(F.greatest(F.col("__s2") / known - mean * mean, F.lit(0.0)) / F.nullif(F.col("__n"), F.lit(0)))
     count_sd = F.sqrt(F.col("__w") * (1 - rate)) / rate
-    known = F.col("__wx") / rate
+    known = F.coalesce(known, F.lit(0.0)) / rate
     sum_sd = F.sqrt((F.pow(count_sd, F.lit(2)) + known * known) * (spread * spread + mean * mean) - known * known * mean * mean)
     out = base.select(*groups, (F.col("__w") / rate).alias("count_est"), (F.col("__s") / rate).alias("sum_est"), mean.alias("avg_est"), count_sd.alias("count_sd"), sum_sd.alias("sum_sd"), spread.alias("avg_sd"))
     for kind in ("count", "sum", "avg"):

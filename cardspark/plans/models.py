@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardspark.catalog import order_schema
 from cardspark.functions.predicates import overlap_share
-from cardspark.operators import bayes, encode, joins, leaves, stats
+from cardspark.operators import bayes, encode, joins, leaves, spn, stats
 from cardspark.plans.registry import query
 
 S = order_schema()
@@ -243,3 +243,50 @@ def conditional_moments(spark: SparkSession, d: str) -> DataFrame:
 def ancestral_sample(spark: SparkSession, d: str) -> DataFrame:
     flag, status, taxes = _flag_tree(spark, d)
     return bayes.ancestral_sample(spark, 10_000, [("flag", None, flag), ("status", "flag", status), ("tax", "flag", taxes)], seed=17)
+
+
+SPN_COLUMNS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _spn(spark: SparkSession, d: str) -> DataFrame:
+    lineitem = S.read(spark, d, "lineitem")
+    fixed = spn.Structure((("l_discount", "l_quantity"), ("l_linenumber",), ("l_tax",)), (((0.03, 12.0), (0.07, 38.0)), ((0.0,),), ((0.0,),)))
+    return spn.fit(lineitem, fixed)
+
+
+@query("""WITH c AS (SELECT *, CASE WHEN (l_discount - 0.03) ** 2 + (l_quantity - 12) ** 2 <= (l_discount - 0.07) ** 2 + (l_quantity - 38) ** 2 THEN 0 ELSE 1 END AS k FROM lineitem)
+          SELECT 0 AS "group", k AS cluster, 'l_quantity' AS attribute, l_quantity AS value, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 0, k, 'l_discount', l_discount, count(*) FROM c GROUP BY ALL
+          UNION ALL SELECT 1, 0, 'l_linenumber', l_linenumber::DOUBLE, count(*) FROM c GROUP BY ALL UNION ALL SELECT 2, 0, 'l_tax', l_tax, count(*) FROM c GROUP BY ALL""")
+def spn_leaves(spark: SparkSession, d: str) -> DataFrame:
+    return _spn(spark, d)
+
+
+@query("SELECT round(count(*) FILTER (l_quantity < 25) / count(*), 6) AS p FROM lineitem")
+def spn_marginal(spark: SparkSession, d: str) -> DataFrame:
+    """A condition on one column: the model is exact there."""
+    return spn.probability(_spn(spark, d), {"l_quantity": F.col("value") < 25}).select(F.round("p", 6).alias("p"))
+
+
+@query("""WITH c AS (SELECT *, CASE WHEN (l_discount - 0.03) ** 2 + (l_quantity - 12) ** 2 <= (l_discount - 0.07) ** 2 + (l_quantity - 38) ** 2 THEN 0 ELSE 1 END AS k FROM lineitem),
+          g AS (SELECT k, count(*)::DOUBLE AS n, count(*) FILTER (l_quantity >= 10) / count(*)::DOUBLE AS a, count(*) FILTER (l_discount <= 0.05) / count(*)::DOUBLE AS b FROM c GROUP BY k)
+          SELECT round(sum(n * a * b) / sum(n) * (SELECT count(*) FILTER (l_tax = 0.02) / count(*)::DOUBLE FROM lineitem), 6) AS p FROM g""")
+def spn_probability(spark: SparkSession, d: str) -> DataFrame:
+    conditions = {"l_quantity": F.col("value") >= 10, "l_discount": F.col("value") <= 0.05, "l_tax": F.col("value") == 0.02}
+    return spn.probability(_spn(spark, d), conditions).select(F.round("p", 6).alias("p"))
+
+
+@query("""WITH c AS (SELECT *, CASE WHEN (l_discount - 0.03) ** 2 + (l_quantity - 12) ** 2 <= (l_discount - 0.07) ** 2 + (l_quantity - 38) ** 2 THEN 0 ELSE 1 END AS k FROM lineitem),
+          g AS (SELECT k, count(*)::DOUBLE AS n, sum(l_quantity) / count(*) AS e, count(*) FILTER (l_discount <= 0.05) / count(*)::DOUBLE AS b FROM c GROUP BY k)
+          SELECT round(sum(n * e * b) / sum(n), 6) AS expectation, round(sum(n * b) / sum(n), 6) AS p, round(sum(n * e * b) / sum(n * b), 6) AS mean FROM g""")
+def spn_expectation(spark: SparkSession, d: str) -> DataFrame:
+    one = spn.expectation(_spn(spark, d), "l_quantity", {"l_discount": F.col("value") <= 0.05})
+    return one.select(*(F.round(c, 6).alias(c) for c in one.columns))
+
+
+@query()
+def spn_learned(spark: SparkSession, d: str) -> DataFrame:
+    """A model with learnt groups and clusters of orders' price and lines."""
+    edge = S.edge("lineitem", "orders")
+    orders = joins.with_fan_out(S.read(spark, d, "orders"), S.read(spark, d, "lineitem"), edge).withColumn("thousands", F.floor(F.col("o_totalprice") / 10_000))
+    columns = [edge.fan_out, "thousands"]
+    return spn.fit(orders, spn.learn_structure(orders, columns, threshold=0.0))
