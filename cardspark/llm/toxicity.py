@@ -27,7 +27,8 @@ from cardspark.llm.common import accepted_rows, checkpointed, slices
 SAMPLE_ROWS = 4000
 #: Shortest and longest beginning of a word that can be a term; rows of the toxic class that must have a term.
 SHORTEST, LONGEST, LEAST_ROWS = 4, 12, 8
-#: A term's weight is its log-odds less so many standard errors; the least weight.
+#: A term's weight sets a low estimate of its share of toxic rows against a high one of the other rows', so many
+#: standard errors apart from what was counted; the least weight.
 ERRORS, LEAST_WEIGHT = 2.5, 1.0
 #: What a longer term's weight must exceed that of a kept beginning by.
 GAIN = 0.7
@@ -173,8 +174,8 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str
     n_bad, n_fine = sizes.get(1, 0), sizes.get(0, 0)
     support, weight = {}, {}
     for r in counts.where(F.col("bad") >= LEAST_ROWS).where(F.col("bad") * max(1, n_fine) > F.col("fine") * max(1, n_bad)).collect():  # bounded by the sample
-        odds = math.log((r["bad"] + 0.5) / (n_bad + 1)) - math.log((r["fine"] + 0.5) / (n_fine + 1))
-        odds -= ERRORS * math.sqrt(1 / (r["bad"] + 0.5) + 1 / (r["fine"] + 0.5))
+        low, high = (max(0.1, math.sqrt(r[k] + 0.375) + side * ERRORS / 2) ** 2 for k, side in (("bad", -1), ("fine", 1)))
+        odds = math.log(low / (n_bad + 1)) - math.log(high / (n_fine + 1))
         if odds >= LEAST_WEIGHT:
             support[r["term"]], weight[r["term"]] = r["bad"], odds
     lexicon = Lexicon(closed(support, weight), exceptions)
