@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardspark.catalog import order_schema
 from cardspark.functions.predicates import overlap_share
-from cardspark.operators import bayes, encode, joins, leaves, spn, stats
+from cardspark.operators import bayes, densities, encode, graph, joins, leaves, progressive, propagate, spn, stats
 from cardspark.plans.registry import query
 
 S = order_schema()
@@ -290,3 +290,53 @@ def spn_learned(spark: SparkSession, d: str) -> DataFrame:
     orders = joins.with_fan_out(S.read(spark, d, "orders"), S.read(spark, d, "lineitem"), edge).withColumn("thousands", F.floor(F.col("o_totalprice") / 10_000))
     columns = [edge.fan_out, "thousands"]
     return spn.fit(orders, spn.learn_structure(orders, columns, threshold=0.0))
+
+
+_EDGES = [("region", "nation"), ("nation", "customer"), ("nation", "supplier"), ("customer", "orders"), ("orders", "lineitem"), ("part", "lineitem"), ("supplier", "lineitem")]
+_EDGE_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + ") AS e(parent, child)"
+
+
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {_EDGE_SQL}), a AS (SELECT child AS node, parent AS ancestor FROM e UNION SELECT a.node, e.parent FROM a JOIN e ON a.ancestor = e.child) SELECT * FROM a")
+def graph_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    return graph.ancestors(spark.createDataFrame(_EDGES, "parent string, child string"))
+
+
+@query(f"WITH e AS (SELECT * FROM {_EDGE_SQL}) SELECT child AS node, parent AS other FROM e UNION SELECT parent, child FROM e UNION SELECT a.parent, b.parent FROM e a JOIN e b ON a.child = b.child AND a.parent <> b.parent")
+def graph_markov_blanket(spark: SparkSession, d: str) -> DataFrame:
+    return graph.markov_blanket(spark.createDataFrame(_EDGES, "parent string, child string"))
+
+
+@query("""WITH s AS (SELECT l_returnflag, l_linenumber, avg(l_extendedprice) FILTER (l_linestatus = 'O') AS t, avg(l_extendedprice) FILTER (l_linestatus <> 'O') AS c, count(*) AS n FROM lineitem GROUP BY 1, 2)
+          SELECT round(sum((t - c) * n) / sum(n), 4) AS effect, count(*) AS strata FROM s WHERE t IS NOT NULL AND c IS NOT NULL""")
+def adjusted_effect(spark: SparkSession, d: str) -> DataFrame:
+    lineitem = S.read(spark, d, "lineitem").withColumn("open", F.col("l_linestatus") == "O")
+    return graph.adjusted_effect(lineitem, "open", "l_extendedprice", ["l_returnflag", "l_linenumber"]).withColumn("effect", F.round("effect", 4))
+
+
+@query("""SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS deviation, round(avg(ln(l_quantity)), 6) AS log_mean, round(stddev_pop(ln(l_quantity)), 6) AS log_deviation,
+          round(1 / avg(l_quantity), 6) AS rate, 1.0::DOUBLE AS p_positive, round(avg(l_quantity) ** 2 / var_pop(l_quantity), 6) AS shape, round(var_pop(l_quantity) / avg(l_quantity), 6) AS scale, min(l_quantity) AS least, max(l_quantity) AS largest FROM lineitem GROUP BY 1""")
+def leaf_parameters(spark: SparkSession, d: str) -> DataFrame:
+    out = densities.parameters(S.read(spark, d, "lineitem"), "l_quantity", ["l_returnflag"])
+    return out.select("l_returnflag", "n", *(F.round(c, 6).alias(c) for c in out.columns if c not in ("l_returnflag", "n")))
+
+
+@query("""WITH g AS (SELECT unnest(range(20))::INT AS code), c AS (SELECT least(floor((o_totalprice - 1000) / 25000), 19)::INT AS code, count(*) AS n FROM orders WHERE o_totalprice BETWEEN 1000 AND 501000 GROUP BY 1)
+          SELECT code, coalesce(n, 0) AS n, round((coalesce(n, 0) + 1) / ((SELECT sum(n) + 20 FROM c) * 25000.0::DOUBLE), 12) AS density FROM g LEFT JOIN c USING (code)""")
+def leaf_width_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return densities.width_histogram(S.read(spark, d, "orders"), "o_totalprice", 1000.0, 501_000.0, 20, alpha=1.0).withColumn("density", F.round("density", 12))
+
+
+@query("""WITH j AS (SELECT l_returnflag AS f, l_linestatus AS s, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2)
+          SELECT f, s, round(n / sum(n) OVER (), 6) AS p FROM j""")
+def calibrated_clique(spark: SparkSession, d: str) -> DataFrame:
+    """Belief of one clique after messages over the tree; it equals the joint distribution."""
+    flag, status, taxes = _flag_tree(spark, d)
+    cliques = {"fs": bayes.product(flag.select(F.col("value").alias("f"), "p"), status.select(F.col("parent").alias("f"), F.col("value").alias("s"), "p")), "ft": taxes.select(F.col("parent").alias("f"), F.col("value").alias("t"), "p")}
+    return propagate.calibrate(cliques, [("fs", "ft")])["fs"].select("f", "s", F.round("p", 6).alias("p"))
+
+
+@query()
+def progressive_probability(spark: SparkSession, d: str) -> DataFrame:
+    flag, status, taxes = _flag_tree(spark, d)
+    conditions = {"flag": F.col("value").isin("N", "R"), "status": F.col("value") == "O", "tax": F.col("value").between(0.02, 0.05)}
+    return progressive.estimated_probability(progressive.progressive_sample(spark, 10_000, [("flag", None, flag), ("status", "flag", status), ("tax", "flag", taxes)], conditions, seed=3))
