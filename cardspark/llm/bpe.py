@@ -4,7 +4,8 @@ The encoding of every prefix of a word ends in one definite token, and what stan
 that token is the encoding of the shorter prefix.  So the last token of each prefix is a state
 that can be handed down a trie: a node's state follows from the states of its ancestors.  Words
 are visited in sorted order, which is the depth-first order of their trie; the states of the
-common prefix with the word before are kept, so each trie node is worked out once.
+common prefix with the word before are kept, so each trie node is worked out once.  An Aho-Corasick
+automaton, carried along with the states, names the tokens that can end at a node.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ from collections.abc import Iterable, Iterator
 PRINTABLE_BYTES = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
 
 
+#: Bits of a symbol in an automaton step's key; steps kept at most.
+SYMBOL_BITS, MOST_STEPS = 9, 2_000_000
+NEVER = 1 << 60
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies."""
     own = {b for r in PRINTABLE_BYTES for b in r}
@@ -53,39 +59,100 @@ class WordTrieEncoder:
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             tail = right
             self.merges[model["vocab"][left], model["vocab"][tail]] = (rank, model["vocab"][left + tail])
-        longest = max(map(len, self.ids))
-        lengths: dict[int, set[int]] = {}
-        for s in self.ids:
-            lengths.setdefault(ord(s[-1]), set()).add(len(s))
-        #: By last symbol and prefix length: the token lengths that can end there, longest first.
-        self.lengths = {c: [tuple(sorted((x for x in found if x <= n), reverse=True)) for n in range(longest + 1)] for c, found in lengths.items()}
-        self.longest = longest
+        self._automaton()
         self.pairs: dict[int, bool] = {}
-        self.wholes: dict[int, bool] = {}
-
-    def merged(self, symbols: str) -> list[int]:
-        """Encoding of a short string by its merges, lowest rank first; the definition itself."""
+        self.histories: dict[int, list[tuple[int, int, int]] | None] = {}
+
+    def _automaton(self) -> None:
+        """Aho-Corasick automaton over the tokens: steps by (state, symbol), and the tokens that end in each state."""
+        steps: dict[int, int] = {}
+        token_at: dict[int, int] = {}
+        depth, above = [0], [(0, 0)]
+        for symbols, token in self.ids.items():
+            state = 0
+            for c in symbols:
+                key = state << SYMBOL_BITS | ord(c)
+                nxt = steps.get(key)
+                if nxt is None:
+                    nxt = steps[key] = len(depth)
+                    depth.append(depth[state] + 1)
+                    above.append((state, ord(c)))
+                state = nxt
+            token_at[state] = token
+        fail = [0] * len(depth)
+        #: By state: (token, its length), longest first.
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(depth)
+        for state in sorted(range(1, len(depth)), key=depth.__getitem__):
+            parent, symbol = above[state]
+            if parent:
+                back = fail[parent]
+                while back and (back << SYMBOL_BITS | symbol) not in steps:
+                    back = fail[back]
+                fail[state] = steps.get(back << SYMBOL_BITS | symbol, 0)
+            own = ((token_at[state], depth[state]),) if state in token_at else ()
+            self.ends[state] = own + self.ends[fail[state]]
+        self.steps, self.fail = steps, fail
+
+    def _step(self, state: int, symbol: int) -> int:
+        """A step that fails over to shorter suffixes; it is kept, within a bound."""
+        back = state
+        while back and (back << SYMBOL_BITS | symbol) not in self.steps:
+            back = self.fail[back]
+        nxt = self.steps.get(back << SYMBOL_BITS | symbol, 0)
+        if len(self.steps) < MOST_STEPS:
+            self.steps[state << SYMBOL_BITS | symbol] = nxt
+        return nxt
+
+    def merged(self, symbols: str, steps: list[tuple[int, int, int]] | None = None) -> list[int]:
+        """Encoding of a short string by its merges, lowest rank first; the definition itself.
+
+        ``steps`` gets, for each merge, its rank and the first and last part after it.
+        """
         parts = [self.ids[c] for c in symbols]
         while len(parts) > 1:
             best = min(((self.merges[p][0], k) for k, p in enumerate(zip(parts, parts[1:])) if p in self.merges), default=None)
             if best is None:
                 break
-            k = best[1]
+            rank, k = best
             parts[k : k + 2] = [self.merges[parts[k], parts[k + 1]][1]]
+            if steps is not None:
+                steps.append((rank, parts[0], parts[-1]))
         return parts
 
+    def _history(self, token: int) -> list[tuple[int, int, int]] | None:
+        """The merges that make a token of its bytes, led by the state before them; null if they make others."""
+        if token not in self.histories:
+            symbols = self.symbols_of[token]
+            steps = [(-1, self.ids[symbols[0]], self.ids[symbols[-1]])]
+            self.histories[token] = [*steps, (NEVER, 0, 0)] if self.merged(symbols, steps) == [token] else None
+        return self.histories[token]
+
     def _pair(self, left: int, right: int) -> bool:
-        """Whether the two tokens stay as they are when their bytes are encoded together."""
+        """Whether the two tokens stay as they are when their bytes are encoded together.
+
+        Both sides' merges go on by rank, as they would alone, unless one across the border comes first.
+        """
         if len(self.pairs) > 2_000_000:
             self.pairs.clear()
-        ok = self.pairs[left << 17 | right] = self.merged(self.symbols_of[left] + self.symbols_of[right]) == [left, right]
+        a, b = self._history(left), self._history(right)
+        ok = a is not None and b is not None
+        i = j = 0
+        while ok:
+            across = self.merges.get((a[i][2], b[j][1]))
+            rank, other = a[i + 1][0], b[j + 1][0]
+            if across is not None and across[0] < rank and across[0] <= other:
+                ok = False
+            elif rank == other == NEVER:
+                break
+            elif rank <= other:
+                i += 1
+            else:
+                j += 1
+        self.pairs[left << 17 | right] = ok
         return ok
 
     def _whole(self, token: int) -> bool:
-        ok = self.wholes.get(token)
-        if ok is None:
-            ok = self.wholes[token] = self.merged(self.symbols_of[token]) == [token]
-        return ok
+        return self._history(token) is not None
 
     def symbols(self, word: str) -> str:
         raw = word.encode("utf-8", "replace").decode("latin-1")
@@ -93,33 +160,36 @@ class WordTrieEncoder:
 
     def encode(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Each word with its token ids, in the depth-first order of the words' trie."""
-        tokens, spans = [0], [0]  # by prefix length: last token, its length
+        tokens, spans, states = [0], [0], [0]  # by prefix length: last token, its length, automaton's state
         before = ""
-        get, pairs, lengths, longest = self.ids.get, self.pairs, self.lengths, self.longest
-        for s, word in sorted((self.symbols(w), w) for w in words):
-            size, shared = len(s), 0
-            for a, b in zip(s, before):
-                if a != b:
-                    break
-                shared += 1
-            del tokens[shared + 1 :], spans[shared + 1 :]
-            for end in range(shared + 1, size + 1):
-                for n in lengths[ord(s[end - 1])][end if end < longest else longest]:
-                    token = get(s[end - n : end])
-                    if token is None:
-                        continue
+        steps, ends, pairs = self.steps.get, self.ends, self.pairs.get
+        for word in sorted(words):
+            s = self.symbols(word)
+            size = len(s)
+            shared = min(size, len(before))  # neighbours mostly differ near their ends
+            while s[:shared] != before[:shared]:
+                shared -= 1
+            del tokens[shared + 1 :], spans[shared + 1 :], states[shared + 1 :]
+            state, end = states[-1], shared
+            for c in s[shared:]:
+                end += 1
+                symbol = ord(c)
+                nxt = steps(state << SYMBOL_BITS | symbol)
+                state = self._step(state, symbol) if nxt is None else nxt
+                for token, n in ends[state]:
                     if n == end:
                         if self._whole(token):
                             break
                         continue
                     left = tokens[end - n]
-                    ok = pairs.get(left << 17 | token)
+                    ok = pairs(left << 17 | token)
                     if ok is None:
                         ok = self._pair(left, token)
                     if ok:
                         break
                 tokens.append(token)
                 spans.append(n)
+                states.append(state)
             before = s
             ids = []
             while size:

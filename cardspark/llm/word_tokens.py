@@ -13,6 +13,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 from cardspark.llm import bpe
 from cardspark.llm.common import slices
 
-#: Words kept between batches; words longer than this many characters are not kept.
-MEMO_WORDS, MEMO_CHARACTERS = 400_000, 64
+#: Words kept between batches, half as many with their decoded text; words longer than this many characters are not kept.
+MEMO_WORDS, MEMO_CHARACTERS = 1_200_000, 64
 
 
 class WordTokenizer:
@@ -39,7 +40,7 @@ class WordTokenizer:
         self.normalizer = Tokenizer.from_file(path).normalizer
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.encoder.special, key=len, reverse=True))) + ")")
         self.wide = re.compile("[^\x00-\u036f]")  # beyond, the library's own normaliser is asked
-        self.wide_word, self.plain_word = self.pattern(ranges, 0x10FFFF), self.pattern(ranges, 0x36F)
+        self.wide_word, self.plain_word, self.ascii_word = (self.pattern(ranges, last) for last in (0x10FFFF, 0x36F, 0x7F))
         self.memo: dict[str, object] = {}
 
     @staticmethod
@@ -61,25 +62,28 @@ class WordTokenizer:
         return out
 
     def _words(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.ascii_word.findall(text.lower())
         if self.wide.search(text):
             return self.wide_word.findall(self.normalizer.normalize_str(text))
-        text = unicodedata.normalize("NFC", text).lower()
-        return (self.wide_word if self.wide.search(text) else self.plain_word).findall(text)
+        composed = unicodedata.normalize("NFC", text)
+        pattern = self.plain_word if composed is text or not self.wide.search(composed) else self.wide_word
+        return pattern.findall(composed.lower())
 
     def learn(self, words: set[str]) -> dict[str, object]:
         """What stands for each of these words."""
         text_of, special = self.encoder.text_of, self.encoder.special
         known = {w: ([special[w[2:]]], w[2:]) for w in words if w.startswith("\0\0") and w[2:] in special}
-        out = {}
-        for w, ids in self.encoder.encode(words - known.keys()):
-            packed = array("I", ids).tobytes()
-            out[w] = (packed, " ".join([text_of[i] for i in ids])) if self.decoding else packed
-        for w, (ids, token) in known.items():
-            packed = array("I", ids).tobytes()
-            out[w] = (packed, token) if self.decoding else packed
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > MEMO_WORDS // (1 + self.decoding):
             self.memo.clear()
-        self.memo.update((w, e) for w, e in out.items() if len(w) <= MEMO_CHARACTERS)
+        out = {}
+        for w, ids in chain(self.encoder.encode(words - known.keys()), ((w, ids) for w, (ids, _) in known.items())):
+            entry = array("I", ids).tobytes()
+            if self.decoding:
+                entry = (entry, known[w][1] if w in known else " ".join([text_of[i] for i in ids]))
+            out[w] = entry
+            if len(w) <= MEMO_CHARACTERS:
+                self.memo[w] = entry
         return out
 
     def entries(self, texts: list[str | None]) -> list[list]:
@@ -122,7 +126,7 @@ def encode_decode(df: DataFrame, tokenizer_file: str, text: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_file, ranges)
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", 8 << 20):
             n, packed, sha, back, decoded_text = [], [], [], [], []
             for entries in tok.entries(batch.column("__text").to_pylist()):
                 raw = b"".join([e[0] for e in entries])
