@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 MOST_CATEGORIES = 10_000
 
 
-def attribute_kinds(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Kind of each column: boolean (two values), continuous (numeric, many values), else categorical."""
+def attribute_kinds(df: DataFrame, columns: list[str], error: float | None = None) -> DataFrame:
+    """Kind of each column: boolean (two values), continuous (numeric, many values), else categorical.
+
+    Exact distinct counts send each row once per column; with ``error`` they are estimated from
+    mergeable summaries with that relative deviation, in one pass without such rows.
+    """
     numeric = {f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")}
-    one = df.agg(F.count(F.lit(1)).alias("n"), *(F.count_distinct(c).alias(c) for c in columns))
+    one = df.agg(F.count(F.lit(1)).alias("n"), *((F.count_distinct(c) if error is None else F.approx_count_distinct(c, error)).alias(c) for c in columns))
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("attribute"), F.col(c).alias("n_distinct"), F.lit(c in numeric).alias("numeric")) for c in columns))).alias("x")
     kind = F.when(F.col("n_distinct") == 2, "boolean").when(F.col("numeric") & ((F.col("n_distinct") * 20 >= F.col("n")) | (F.col("n_distinct") > MOST_CATEGORIES)), "continuous").otherwise("categorical")
     return one.select("n", each).select("x.attribute", "x.n_distinct", "x.numeric", "n").select("attribute", "n_distinct", kind.alias("kind"))
@@ -56,10 +60,15 @@ def tail_bins(df: DataFrame, column: str, n_common: int, bins: int) -> DataFrame
     return lines.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("code")))
 
 
-def quantile_bins(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Bins (lo, hi] with about as many rows each; equal breakpoints are drawn together."""
-    points = [k / bins for k in range(bins + 1)]
-    cuts = df.agg(F.percentile(column, F.array(*map(F.lit, points))).alias("p")).select(F.array_distinct("p").alias("p"))
+def quantile_bins(df: DataFrame, column: str, bins: int, accuracy: int | None = None) -> DataFrame:
+    """Bins (lo, hi] with about as many rows each; equal breakpoints are drawn together.
+
+    Exact breakpoints need all distinct values in one aggregate; with ``accuracy`` they come from a
+    mergeable summary of that size instead, for columns with very many values.
+    """
+    points = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
+    at = F.percentile(column, points) if accuracy is None else F.percentile_approx(column, points, accuracy)
+    cuts = df.agg(at.alias("p")).select(F.array_distinct("p").alias("p"))
     return cuts.select(F.posexplode(F.slice("p", 1, F.size("p") - 1)).alias("code", "lo"), "p").select("code", "lo", F.element_at("p", F.col("code") + 2).alias("hi"))
 
 

@@ -161,3 +161,11 @@ def test_stream_equals_batch(spark, tmp_path):
     incremental.maintain(stream, "event_type", "value", str(tmp_path / "state"), str(tmp_path / "checkpoint")).awaitTermination()
     found = {r.event_type: (r.n, r.sum_x, r.sum_x2) for r in incremental.current(spark, str(tmp_path / "state"), "event_type").collect()}
     assert found == {r.event_type: (r.n, r.sum_x, r.sum_x2) for r in incremental.leaf_state(df, "event_type", "value").collect()}
+
+
+def test_summaries_for_very_many_values(spark):
+    df = spark.range(10_000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).alias("b"))
+    exact, near = (encode.quantile_bins(df, "x", 10, accuracy).orderBy("code").collect() for accuracy in (None, 1000))
+    assert len(exact) == len(near) == 10 and all(abs(a.hi - b.hi) <= 20 for a, b in zip(exact, near))
+    kinds = {r.attribute: r.kind for r in encode.attribute_kinds(df, ["x", "b"], error=0.02).collect()}
+    assert kinds == {"x": "continuous", "b": "boolean"}
