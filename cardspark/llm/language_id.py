@@ -25,6 +25,8 @@ from cardspark.llm.common import accepted_rows, checkpointed, slices
 UNKNOWN = "und"
 #: Longest n-gram; discount; rows of the sample for each language, of which one in five calibrates.
 ORDER, DISCOUNT, SAMPLE_ROWS, CALIBRATION = 4, 0.75, 1000, 5
+#: A language stands out if the next is this share of the usual distance to other languages' texts behind.
+MARGIN = 0.25
 #: Multiplier of the rolling n-gram hash (odd, so that it is a bijection for one character).
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SPACE = 0x20
@@ -168,8 +170,12 @@ class Model:
         weight = np.minimum(n, 32)[:, None]
         away = np.exp(-(entropies - entropies.min(axis=1, keepdims=True)) * weight)
         score = 1.0 / away.sum(axis=1)
-        bound = self.mean[best] + share * np.maximum(0, self.foreign[best] - self.mean[best]) + sigmas * self.wobble[best] / np.sqrt(np.maximum(n, 1))
-        return best, score, entropies[np.arange(len(best)), best] > bound
+        gap = np.maximum(0, self.foreign[best] - self.mean[best])
+        bound = self.mean[best] + share * gap + sigmas * self.wobble[best] / np.sqrt(np.maximum(n, 1))
+        least = np.sort(entropies, axis=1)[:, :2]
+        # No language stands out: foreign words or codes in a text of a known language don't make it strange.
+        level = least[:, -1] - least[:, 0] < MARGIN * gap
+        return best, score, (least[:, 0] > bound) & level
 
 
 def fit(learnable: DataFrame, text: str, language: str, rows: int = SAMPLE_ROWS) -> Model | None:
@@ -178,8 +184,10 @@ def fit(learnable: DataFrame, text: str, language: str, rows: int = SAMPLE_ROWS)
     Null if no row has both a text and a language.
     """
     marked = learnable.select(F.col(language).cast("string").alias("l"), F.col(text).cast("string").alias("t")).where("l IS NOT NULL AND t IS NOT NULL")
-    order = Window.partitionBy("l").orderBy("h")
-    chosen = marked.select("l", F.xxhash64("t").alias("h")).distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows)
+    chosen = marked.select("l", F.xxhash64("t").alias("h")).distinct()
+    for part in (F.pmod("h", F.lit(64)), F.lit(0)):  # first in parts, so that no language gathers in one task
+        order = Window.partitionBy("l", part).orderBy("h")
+        chosen = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).select("l", "h")
     sample = marked.withColumn("h", F.xxhash64("t")).join(F.broadcast(chosen), ["l", "h"]).dropDuplicates(["l", "h"])
     sample = checkpointed(sample)  # bounded by rows and languages
     letters = bpe.classes()["letter"]
@@ -225,7 +233,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple
     is null or has no letter gets ``und``, score 0 and is rejected, as is every text if nothing could
     be learnt.  A text is also rejected if its cross-entropy lies beyond ``share`` of the way from what
     is usual in its language to what other languages' texts show there, and ``sigmas`` deviations of
-    texts of its length on top; ``lang_pred`` still names the nearest language then.  Repeated rows are
+    texts of its length on top, and no language stands out; ``lang_pred`` still names the nearest then.  Repeated rows are
     judged alike and kept; other columns are ignored, whatever their names; an empty table gives an
     empty result.
     """
