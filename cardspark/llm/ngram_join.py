@@ -11,6 +11,7 @@ A document is the set of its distinct word shingles; equal sets go on as one, un
 3. In a bundle the sets' token bitmaps are the leaves of a signature tree whose nodes hold the
    OR of their bitmaps and the range of sizes.  A dual traversal drops pairs of nodes whose largest possible
    overlap is too small.  Sets without any partner left drop out.
+   Pairs that share a smaller bundle are left to it.
 4. The texts of the rest come to their bundles, and pairs that the tree left are compared exactly, but
    for pairs that are connected already.  Large bundles are worked on in chunks, each with the
    bundle's first set; only what no chunk connects to that set is compared across chunks.
@@ -34,6 +35,8 @@ from cardspark.llm.shingles import WORDS, set_hash, shingle_sets
 FANOUT, CHUNK, TREE_SETS = 16, 512, 2048
 #: A shingle is common from this many sets on, or this share of all sets; the share bounds how many can be common.
 COMMON_SETS, COMMON_SHARE = 256, 1 / 16384
+#: Ids that are broadcast at most (8 bytes each).
+BROADCAST_IDS = 1_000_000
 #: How often common shingles are put last before cells are taken as they are.
 ROUNDS = 3
 
@@ -296,19 +299,25 @@ def _units(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
         yield last, pa.Table.from_batches(held)
 
 
+def _elsewhere(i: np.ndarray, j: np.ndarray, primary: np.ndarray, pivot: int) -> np.ndarray:
+    """Pairs that share a smaller bundle: they are compared there."""
+    return (primary[i] == primary[j]) & (primary[i] != pivot)
+
+
 def _partnered(members: DataFrame, percent: int) -> DataFrame:
-    """(pivot, member) of members that the signature tree of their bundle leaves a partner."""
+    """(pivot, member, primary) of members that the signature tree of their bundle leaves a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (pivot,), unit in _units(batches, ["pivot"]):
-            keys, sizes = unit.column("member").to_numpy(), unit.column("n").to_numpy()
+            keys, sizes, primary = (unit.column(c).to_numpy() for c in ("member", "n", "primary"))
             left = np.zeros(len(keys), dtype=bool)
             for i, j in SignatureTree(sizes, unit.column("bits").to_pylist()).pairs(percent):
-                left[i] = left[j] = True
+                fine = ~_elsewhere(i, j, primary, pivot)
+                left[i[fine]] = left[j[fine]] = True
             if left.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(left.sum()), pivot)), pa.array(keys[left])], names=["pivot", "member"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(left.sum()), pivot)), pa.array(keys[left]), pa.array(primary[left])], names=["pivot", "member", "primary"])
 
-    return members.mapInArrow(run, "pivot long, member long")
+    return members.mapInArrow(run, "pivot long, member long, primary long")
 
 
 def _read_sets(unit: pa.Table) -> tuple[list[int], list[np.ndarray]]:
@@ -331,10 +340,16 @@ def _linked(texts: DataFrame, percent: int) -> DataFrame:
                 continue
             order = sorted(range(len(keys)), key=lambda k: (keys[k] != pivot, keys[k]))
             keys, sets = [keys[k] for k in order], [sets[k] for k in order]
+            whole = unit.column("chunks")[0].as_py() == 1
+            first = dict(zip(unit.column("member").to_pylist(), unit.column("primary").to_pylist()))
+            primary = np.array([first[k] for k in keys])
             joined, a, b = Joined(len(keys)), [], []
             tree = SignatureTree(np.array([len(s) for s in sets]), [bitmap(s) for s in sets])
             found = list(tree.pairs(percent))
             i, j = (np.concatenate([x[k] for x in found]) for k in (0, 1)) if found else (np.zeros(0, int),) * 2
+            if whole:
+                fine = ~_elsewhere(i, j, primary, pivot)
+                i, j = i[fine], j[fine]
             low, high = np.minimum(i, j), np.maximum(i, j)
             for k in np.lexsort((high, low)).tolist():  # the pivot's pairs first
                 x, y = int(low[k]), int(high[k])
@@ -343,7 +358,7 @@ def _linked(texts: DataFrame, percent: int) -> DataFrame:
                     joined.join(p, q)
                     a.append(keys[x])
                     b.append(keys[y])
-            if unit.column("chunks")[0].as_py() > 1:
+            if not whole:
                 anchor = joined.root(0) if keys[0] == pivot else None
                 for k in range(len(keys)):
                     if joined.root(k) != anchor:
@@ -385,6 +400,18 @@ def _linked_across(texts: DataFrame, percent: int) -> DataFrame:
     return texts.mapInArrow(run, "a long, b long")
 
 
+def _with_texts(bodies: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with the texts of their ids.
+
+    Up to ``BROADCAST_IDS`` distinct ids are sent to the texts, so that only theirs travel; more meet
+    the texts by a shuffle of both.
+    """
+    ids = rows.select("id").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        bodies = bodies.join(F.broadcast(ids), "id", "left_semi")
+    return bodies.join(rows, "id")
+
+
 def similar_documents(df: DataFrame, percent: int = 75, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Groups documents by links between sets of word shingles with 100 * overlap >= ``percent`` * union.
 
@@ -417,32 +444,41 @@ def similar_documents(df: DataFrame, percent: int = 75, text: str = "text", id_c
         before, common = common, np.unique(np.concatenate((common, np.array(fresh, dtype=np.int64).view(np.uint64))))
         shown = _shown_again(df.where(F.col(id_column).isNotNull()), percent, text, before, common)
 
-    stars = stars.distinct()
-    per_bundle = stars.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
-    stars = checkpointed(stars.join(per_bundle, "pivot"))
-    small = stars.where(F.col("m") <= TREE_SETS).select("pivot", "member")
+    # A pair of sets is compared in the smallest bundle that it shares.  A set's primary bundle is its smallest: sets
+    # with one primary bundle meet there, and need not be compared with each other in any other.
+    stars = checkpointed(stars.distinct())
+    stars = checkpointed(stars.join(stars.groupBy("member").agg(F.min("pivot").alias("primary")), "member"))
+    per_bundle = stars.groupBy("pivot", "primary").agg(F.count(F.lit(1)).alias("k")).groupBy("pivot")
+    per_bundle = per_bundle.agg(F.sum("k").alias("m"), F.count(F.lit(1)).alias("kinds"), F.max_by("primary", F.struct("k", -F.col("primary"))).alias("major"))
+    per_bundle = checkpointed(per_bundle.where("kinds > 1 OR major = pivot"))
+    stars = checkpointed(stars.join(per_bundle.select("pivot", "m", "major"), "pivot"))
+    small = stars.where(F.col("m") <= TREE_SETS).select("pivot", "member", "primary")
     small = small.join(own.select(F.col("key").alias("member"), "n", "bits"), "member")
     small = _partnered(small.repartition(parts, "pivot").sortWithinPartitions("pivot"), percent)
-    flagged = small.unionByName(stars.where(F.col("m") > TREE_SETS).select("pivot", "member"))
+    large = stars.where(F.col("m") > TREE_SETS)
+    flagged = small.unionByName(large.where("major = pivot").select("pivot", "member", "primary"))
     flagged = checkpointed(flagged.join(own.select(F.col("key").alias("member"), "id"), "member"))
-    counts = flagged.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
-    flagged = checkpointed(flagged.join(counts.select("pivot", "chunks"), "pivot"))
+    counts = flagged.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    flagged = checkpointed(flagged.join(counts, "pivot"))
     bodies = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
 
     chunked = flagged.withColumn("chunk", F.when(F.col("member") == F.col("pivot"), F.expr("sequence(0, chunks - 1)")).otherwise(F.array(F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int"))))
-    chunked = bodies.join(chunked, "id").withColumn("chunk", F.explode("chunk")).select("pivot", "chunk", "chunks", "member", "t")
+    chunked = _with_texts(bodies, chunked).withColumn("chunk", F.explode("chunk")).select("pivot", "chunk", "chunks", "member", "primary", "t")
     within = checkpointed(_linked(chunked.repartition(parts, "pivot", "chunk").sortWithinPartitions("pivot", "chunk"), percent))
     links = within.where("b IS NOT NULL").select("a", "b")
-    left = within.where("b IS NULL").select(F.col("a").alias("member"), "pivot").distinct()
+    # What is left to compare across: sets that no chunk connects to the pivot, and those of another primary bundle
+    # in large bundles whose sets mostly meet elsewhere.
+    mixed = large.where("major <> pivot").select("pivot", "member", "primary", "major", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
+    left = within.where("b IS NULL").select("pivot", F.col("a").alias("member")).unionByName(mixed.where("primary <> major").select("pivot", "member"))
+    left = checkpointed(left.distinct())
     if not left.isEmpty():
         # Blocks of what is left, each met by its whole bundle.
-        blocks = left.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("blocks"))
-        left = checkpointed(left.join(blocks, "pivot"))
-        home = left.select("pivot", "member", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), F.lit(0).alias("part"))
-        stream = flagged.select("pivot", "member", F.pmod(F.xxhash64("member", F.lit(1)), F.col("chunks")).cast("int").alias("part"))
-        stream = stream.join(left.select("pivot", "blocks").distinct(), "pivot").select("pivot", "member", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(1).alias("kind"), "part")
-        both = home.unionByName(stream).join(flagged.select("pivot", "member", "id"), ["pivot", "member"])
-        both = bodies.join(both, "id").select("pivot", "block", "kind", "part", "member", "t")
+        blocks = checkpointed(left.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("blocks")))
+        home = left.join(blocks, "pivot").select("pivot", "member", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), F.lit(0).alias("part"))
+        stream = flagged.select("pivot", "member", "chunks").unionByName(mixed.select("pivot", "member", "chunks"))
+        stream = stream.join(blocks, "pivot").select("pivot", "member", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(1).alias("kind"), F.pmod(F.xxhash64("member", F.lit(1)), F.col("chunks")).cast("int").alias("part"))
+        both = home.unionByName(stream).join(own.select(F.col("key").alias("member"), "id"), "member")
+        both = _with_texts(bodies, checkpointed(both)).select("pivot", "block", "kind", "part", "member", "t")
         across = _linked_across(both.repartition(parts, "pivot", "block").sortWithinPartitions("pivot", "block", "kind", "part"), percent)
         links = links.unionByName(checkpointed(across))
 

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 
 WORDS = 5
+#: Bytes of texts worked out at once.
+PART_BYTES = 1 << 19
 #: Odd multipliers (5 modulo 8, so that powers differ early) and the seed of the byte values.
 BYTE_STEP, WORD_STEP, SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED05 | 5), 20240229
 BYTE_VALUES = np.random.default_rng(SEED).integers(0, 2**64, 256, dtype=np.uint64, endpoint=False)
@@ -52,7 +54,21 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; a text with fewer words is one shingle, one without words none."""
+    """The sorted distinct shingle hashes of each text; a text with fewer words is one shingle, one without words none.
+
+    Texts are worked out some at a time, so that memory follows ``PART_BYTES`` or the longest text.
+    """
+    start = 0
+    while start < len(texts):
+        stop, size = start, 0
+        while stop < len(texts) and (stop == start or size < PART_BYTES):
+            size += len(texts[stop] or b"")
+            stop += 1
+        yield from _part_sets(texts[start:stop], words)
+        start = stop
+
+
+def _part_sets(texts: list[bytes | None], words: int) -> Iterator[np.ndarray]:
     hashes, counts = word_hashes([t or b"" for t in texts])
     rolled = np.zeros(max(0, len(hashes) - words + 1), dtype=np.uint64)
     for k in range(words):
