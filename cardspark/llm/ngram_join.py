@@ -33,8 +33,10 @@ from cardspark.llm.shingles import WORDS, set_hash, shingle_sets
 
 #: Children of a tree node; sets in one unit of exact comparison; sets in a bundle that the tree is built for as one.
 FANOUT, CHUNK, TREE_SETS = 16, 512, 2048
-#: A shingle is common from this many sets on, or this share of all sets; the share bounds how many can be common.
-COMMON_SETS, COMMON_SHARE = 256, 1 / 16384
+#: A shingle is common if more than a certain share of all sets have it: 1/1024 where that lies between these numbers
+#: of sets, so that as large a part of the sets is dealt out again at any size, and at least 1/16384, which bounds how
+#: many shingles can be common.
+COMMON_SETS, MOST_COMMON_SETS, COMMON_SHARE = 64, 1024, 1 / 16384
 #: Ids that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: How often common shingles are put last before cells are taken as they are.
@@ -428,7 +430,7 @@ def similar_documents(df: DataFrame, percent: int = 75, text: str = "text", id_c
     own = taking_part.groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("bits").alias("bits"))
     own = checkpointed(own)
     n_sets = own.count()
-    most = max(COMMON_SETS, int(n_sets * COMMON_SHARE))
+    most = max(COMMON_SETS, min(n_sets // 1024, MOST_COMMON_SETS), int(n_sets * COMMON_SHARE))
     parts = shuffle_partitions(spark)
 
     shown, common, stars = _shown(taking_part), np.zeros(0, dtype=np.uint64), None
