@@ -243,7 +243,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, characters = shared.value, Characters(letters)
-        for batch in slices(batches, "__text", 1 << 20):
+        for batch in slices(batches, "__text", 1 << 19):
             names, score, rejected = judged(own, characters, batch.column("__text").to_pylist(), share, sigmas)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=[*keep, "lang_pred", "score", "rejected"])
 
@@ -270,9 +270,9 @@ def accepted(df: DataFrame, model: Model | None, text: str = "text", share: floa
 
         def keep(texts: list[str | None]) -> np.ndarray:
             out, start = [], 0
-            while start < len(texts):  # some megabytes at once
+            while start < len(texts):  # half a megabyte at once
                 stop, size = start, 0
-                while stop < len(texts) and (stop == start or size < 1 << 20):
+                while stop < len(texts) and (stop == start or size < 1 << 19):
                     size += len(texts[stop] or "")
                     stop += 1
                 out.append(~judged(own, characters, texts[start:stop], share, sigmas)[2])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cardspark.llm import bpe
 from cardspark.llm.common import checkpointed, slices
-from cardspark.llm.word_tokens import tokenizer
+from cardspark.llm.word_tokens import MEMO_WORDS, SLICE_BYTES, tokenizer
 
 
 class CapacityTree:
@@ -98,7 +98,7 @@ def best_fit_decreasing(counts: dict[int, int], window: int) -> tuple[list[tuple
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, __task long, __rank long, __whole boolean"
 
 
-def pieces(df: DataFrame, tokenizer_file: str, end_id: int, window: int, text: str, keep: tuple[str, ...]) -> DataFrame:
+def pieces(df: DataFrame, tokenizer_file: str, end_id: int, window: int, text: str, keep: tuple[str, ...], memo_words: int, slice_bytes: int) -> DataFrame:
     """Each document's full windows and what is left, ranked by length within the task."""
     ranges = bpe.classes()
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [PIECES])
@@ -106,7 +106,8 @@ def pieces(df: DataFrame, tokenizer_file: str, end_id: int, window: int, text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, task, ranks = tokenizer(tokenizer_file, ranges, decoding=False), TaskContext.get().partitionId(), Counter()
-        for batch in slices(batches, "__text", 8 << 20):
+        tok.memo_words = memo_words
+        for batch in slices(batches, "__text", slice_bytes):
             rows, out = [], []
             for k, entries in enumerate(tok.entries(batch.column("__text").to_pylist())):
                 raw = b"".join(entries) + end
@@ -124,17 +125,18 @@ def pieces(df: DataFrame, tokenizer_file: str, end_id: int, window: int, text: s
     return df.select(*keep, df[text].cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def pack(df: DataFrame, tokenizer_file: str, end_id: int = 2, window: int = 4096, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def pack(df: DataFrame, tokenizer_file: str, end_id: int = 2, window: int = 4096, text: str = "text", keep: tuple[str, ...] = ("doc_id",), memo_words: int = MEMO_WORDS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Packs documents, each followed by ``end_id``, into sequences of at most ``window`` tokens.
 
     Returns per piece the columns ``keep`` and ``start`` (the document's ids before it), ``length``,
     ``ids_crc32`` (of the ids as little-endian unsigned 32-bit integers), ``doc_tokens``,
     ``sequence_id`` and ``offset`` in the sequence; offsets leave no gaps.  Null and empty texts are
-    documents of the end id alone.  Repeated rows are documents of their own.  Other columns are
+    documents of the end id alone.  ``memo_words`` and ``slice_bytes`` bound a worker's memory and change
+    nothing else.  Repeated rows are documents of their own.  Other columns are
     ignored, whatever their names; an empty table gives an empty result.
     """
     # What the tasks found is held fast: ranks and plan must speak of the same rows.
-    found = checkpointed(pieces(df, tokenizer_file, end_id, window, text, keep))
+    found = checkpointed(pieces(df, tokenizer_file, end_id, window, text, keep, memo_words, slice_bytes))
     per_task = found.groupBy("__task", "length").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("length").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     per_task = per_task.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))

@@ -18,7 +18,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardspark.llm.common import slices
+from cardspark.llm.common import checkpointed, slices
 
 #: Words a run of repeated units must have to be removed, and those a unit must have for a run to rest on it.
 RUN_WORDS, STRONG_WORDS = 25, 6
@@ -73,9 +73,11 @@ def repeated_spans(df: DataFrame, text: str = "text", id_column: str = "doc_id",
     texts = df.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL AND t <> ''")
     found = texts.mapInArrow(cut, f"id {kind}, text_hash long, high long, low long, seq int, start int, end int, words int")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "seq")
-    # Partial sums come first, so a digest that very many documents share sends few rows.
+    # Partial sums come first, so a digest that very many documents share sends few rows.  Checkpointed, both sides of
+    # the join come straight from their exchange, and adaptive execution can split such a digest there.
     first = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last")
-    others = found.join(first.select("high", "low", "first"), ["high", "low"]).where(F.col("first") != rank).select("id", "text_hash", "seq", "start", "end", "words", F.col("first.id").alias("first_doc_id")).distinct()
+    first = checkpointed(first.select("high", "low", "first"))
+    others = found.join(first, ["high", "low"]).where(F.col("first") != rank).select("id", "text_hash", "seq", "start", "end", "words", F.col("first.id").alias("first_doc_id")).distinct()
     # Runs of neighbouring units, document by document.
     own = Window.partitionBy("id", "text_hash").orderBy("seq")
     runs = others.withColumn("run", F.col("seq") - F.row_number().over(own))

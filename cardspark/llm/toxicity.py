@@ -30,6 +30,8 @@ SHORTEST, LONGEST, LEAST_ROWS = 4, 12, 8
 #: A term's weight sets a low estimate of its share of toxic rows against a high one of the other rows', so many
 #: standard errors apart from what was counted; the least weight.
 ERRORS, LEAST_WEIGHT = 2.5, 1.0
+#: Terms that a task counts before it hands on their sums.
+HELD_TERMS = 100_000
 #: What a longer term's weight must exceed that of a kept beginning by.
 GAIN = 0.7
 #: Characters that look like Latin letters, and digits and signs that stand for letters.
@@ -162,12 +164,17 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
+
+        def out(y: int) -> pa.RecordBatch:
+            own, found[y] = found[y], Counter()
+            return pa.RecordBatch.from_arrays([pa.array(list(own)), pa.array([c if y else 0 for c in own.values()], pa.int64()), pa.array([0 if y else c for c in own.values()], pa.int64())], names=["term", "bad", "fine"])
+
         for batch in slices(batches, "t"):
             for y, t in zip(batch.column("y").to_pylist(), batch.column("t").to_pylist()):
                 found[y].update(terms(folded(t)))
-        for y, own in found.items():
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array(list(own)), pa.array([c if y else 0 for c in own.values()], pa.int64()), pa.array([0 if y else c for c in own.values()], pa.int64())], names=["term", "bad", "fine"])
+                if len(found[y]) > HELD_TERMS:
+                    yield out(y)
+        yield from (out(y) for y in (0, 1) if found[y])
 
     counts = sample.mapInArrow(count, "term string, bad long, fine long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}

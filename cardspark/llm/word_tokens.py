@@ -23,6 +23,8 @@ from cardspark.llm.common import slices
 
 #: Words kept between batches, half as many with their decoded text; words longer than this many characters are not kept.
 MEMO_WORDS, MEMO_CHARACTERS = 1_200_000, 64
+#: Bytes of texts worked on at once.
+SLICE_BYTES = 8 << 20
 
 
 class WordTokenizer:
@@ -42,6 +44,7 @@ class WordTokenizer:
         self.wide = re.compile("[^\x00-\u036f]")  # beyond, the library's own normaliser is asked
         self.wide_word, self.plain_word, self.ascii_word = (self.pattern(ranges, last) for last in (0x10FFFF, 0x36F, 0x7F))
         self.memo: dict[str, object] = {}
+        self.memo_words = MEMO_WORDS // (1 + decoding)
 
     @staticmethod
     def pattern(ranges: dict, last: int) -> re.Pattern:
@@ -74,7 +77,7 @@ class WordTokenizer:
         """What stands for each of these words."""
         text_of, special = self.encoder.text_of, self.encoder.special
         known = {w: ([special[w[2:]]], w[2:]) for w in words if w.startswith("\0\0") and w[2:] in special}
-        if len(self.memo) > MEMO_WORDS // (1 + self.decoding):
+        if len(self.memo) > self.memo_words:
             self.memo.clear()
         out = {}
         for w, ids in chain(self.encoder.encode(words - known.keys()), ((w, ids) for w, (ids, _) in known.items())):
@@ -126,7 +129,7 @@ def encode_decode(df: DataFrame, tokenizer_file: str, text: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_file, ranges)
-        for batch in slices(batches, "__text", 8 << 20):
+        for batch in slices(batches, "__text", SLICE_BYTES):
             n, packed, sha, back, decoded_text = [], [], [], [], []
             for entries in tok.entries(batch.column("__text").to_pylist()):
                 raw = b"".join([e[0] for e in entries])
