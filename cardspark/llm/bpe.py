@@ -91,7 +91,7 @@ class WordTrieEncoder:
                 fail[state] = steps.get(back << SYMBOL_BITS | symbol, 0)
             own = ((token_at[state], depth[state]),) if state in token_at else ()
             self.ends[state] = own + self.ends[fail[state]]
-        self.steps, self.fail = steps, fail
+        self.steps, self.fail, self.most_steps = steps, fail, MOST_STEPS
 
     def _step(self, state: int, symbol: int) -> int:
         """A step that fails over to shorter suffixes; it is kept, within a bound."""
@@ -99,7 +99,7 @@ class WordTrieEncoder:
         while back and (back << SYMBOL_BITS | symbol) not in self.steps:
             back = self.fail[back]
         nxt = self.steps.get(back << SYMBOL_BITS | symbol, 0)
-        if len(self.steps) < MOST_STEPS:
+        if len(self.steps) < self.most_steps:
             self.steps[state << SYMBOL_BITS | symbol] = nxt
         return nxt
 
@@ -132,7 +132,7 @@ class WordTrieEncoder:
 
         Both sides' merges go on by rank, as they would alone, unless one across the border comes first.
         """
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > self.most_steps:
             self.pairs.clear()
         a, b = self._history(left), self._history(right)
         ok = a is not None and b is not None

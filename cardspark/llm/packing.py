@@ -106,7 +106,7 @@ def pieces(df: DataFrame, tokenizer_file: str, end_id: int, window: int, text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, task, ranks = tokenizer(tokenizer_file, ranges, decoding=False), TaskContext.get().partitionId(), Counter()
-        tok.memo_words = memo_words
+        tok.memo_words, tok.encoder.most_steps = memo_words, 2 * memo_words
         for batch in slices(batches, "__text", slice_bytes):
             rows, out = [], []
             for k, entries in enumerate(tok.entries(batch.column("__text").to_pylist())):

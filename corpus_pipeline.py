@@ -42,7 +42,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 4096 tokens; workers that ran the other stages have less memory left."""
-    return pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, window=4096, memo_words=500_000, slice_bytes=4 << 20)
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, window=4096, memo_words=150_000, slice_bytes=2 << 20)
 
 
 STAGES = [
