@@ -248,8 +248,12 @@ def _shown_again(df: DataFrame, percent: int, text: str, before: np.ndarray, com
     return df.select(F.col(text).cast("string").alias("t")).where("t IS NOT NULL").mapInArrow(run, "token long, key long, n int")
 
 
-def _bundles(shown: DataFrame, percent: int, most: int | None, parts: int) -> DataFrame:
-    """Sets that meet at a shingle: (pivot, member), and (null, token) for shingles that more than ``most`` sets share."""
+def _bundles(shown: DataFrame, percent: int, most: int | None, parts: int, late: np.ndarray) -> DataFrame:
+    """Sets that meet at a shingle: (pivot, member), and (null, token) for shingles that more than ``most`` sets share.
+
+    Shingles in ``late`` stand last already: dealing their sets out again would show them again, so they are taken whole.
+    """
+    last = shown.sparkSession.sparkContext.broadcast(late)  # bounded: see COMMON_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches), pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32())]))
@@ -270,8 +274,9 @@ def _bundles(shown: DataFrame, percent: int, most: int | None, parts: int) -> Da
         pivot = np.minimum.reduceat(key, starts)
         wanted = size > 1
         if most is not None:
-            wanted &= size <= most
-            common = np.unique(token[starts[size > most]])
+            crowded = (size > most) & ~is_common(token[starts].view(np.uint64), last.value)
+            wanted &= ~crowded
+            common = np.unique(token[starts[crowded]])
             if len(common):
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(common), pa.int64()), pa.array(common)], names=["pivot", "member"])
         rows = wanted[cell]
@@ -436,7 +441,7 @@ def similar_documents(df: DataFrame, percent: int = 75, text: str = "text", id_c
     shown, common, stars = _shown(taking_part), np.zeros(0, dtype=np.uint64), None
     for turn in range(ROUNDS):
         last = turn == ROUNDS - 1
-        found = checkpointed(_bundles(shown, percent, None if last else most, parts))
+        found = checkpointed(_bundles(shown, percent, None if last else most, parts, common))
         met = found.where("pivot IS NOT NULL")
         stars = met if stars is None else stars.unionByName(met)
         # At most the shingles shown, divided by ``most``.

@@ -55,6 +55,21 @@ def test_ngram_join_of_odd_tables(spark):
     assert found == sorted([(5, 2, 2), (5, 2, 2), (2, 2, 2), (None, 2, None), (9, 1, 9)], key=str)
 
 
+def test_ngram_join_of_variants_of_a_line_in_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON_SETS", 8)
+    draw = random.Random(11)
+    line = words(draw, 10)
+    while next(shingle_sets([" ".join(line).encode()])).max() >> 62:  # all stand among a long document's first shingles
+        line = words(draw, 10)
+    long = [" ".join([*words(draw, 25), *line, *words(draw, 25)]) for _ in range(150)]
+    variants = [" ".join([*line, f"v{k}"]) for k in range(200)]
+    texts = [*long, *variants]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    expected = helpers.similar_groups(range(len(texts)), texts)
+    assert len({least for k, _, least in expected if k >= len(long)}) == 1
+    assert sorted(map(tuple, similar_documents(df).collect())) == expected
+
+
 def test_tree_loses_no_pair():
     draw = random.Random(7)
     texts = [t.encode() for t in documents(3, 60) if t and t.strip()]
