@@ -187,10 +187,12 @@ def document_sets(df: DataFrame, percent: int, text: str, id_column: str) -> Dat
         seen: set[int] = set()
         for batch in slices(batches, "t"):
             n, key, bits, first = [], [], [], []
-            for s in shingle_sets(batch.column("t").cast(pa.binary()).to_pylist()):
+            named = batch.column("id").is_valid().to_pylist()
+            for s, takes_part in zip(shingle_sets(batch.column("t").cast(pa.binary()).to_pylist()), named):
                 k = set_hash(s)
-                new = len(s) > 0 and k not in seen  # a task shows each set once
-                seen.add(k)
+                new = takes_part and len(s) > 0 and k not in seen  # a task shows each set once
+                if new:
+                    seen.add(k)
                 n.append(len(s))
                 key.append(k)
                 bits.append(bitmap(s) if new else None)

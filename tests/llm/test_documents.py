@@ -55,6 +55,13 @@ def test_ngram_join_of_odd_tables(spark):
     assert found == sorted([(5, 2, 2), (5, 2, 2), (2, 2, 2), (None, 2, None), (9, 1, 9)], key=str)
 
 
+def test_ngram_join_of_a_null_id_before_its_text(spark):
+    own = words(random.Random(12), 60)
+    rows = [(None, " ".join(own)), (7, " ".join(own)), (3, " ".join([*own[:-1], "changed"]))]
+    found = sorted(map(tuple, similar_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()), key=str)
+    assert found == sorted([(None, 56, None), (7, 56, 3), (3, 56, 3)], key=str)
+
+
 def test_ngram_join_of_variants_of_a_line_in_long_documents(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "COMMON_SETS", 8)
     draw = random.Random(11)
