@@ -3,24 +3,28 @@
 A text is cut into units at line ends and at ends of sentences; the start of a sentence in the
 middle of a line is found from the signs around it alone, so a passage is cut alike wherever it
 stands.  Units are normalised and hashed; digests are grouped globally, the occurrence that ranks
-first (smallest document id, then position) stays.  Of the other occurrences, runs of neighbouring
-units with enough words go; their offsets in the text as it was are kept.  Only digests that
-occur more than once travel back to the documents.
+first (smallest document id, then position) stays.  Whole lines, and stretches of short units with
+enough words, are hashed as one as well.  Of the other occurrences, lines and stretches go, and runs of
+neighbouring units with enough words in longer units; their offsets in the text as it was are kept.
+Only digests that occur more than once travel back to the documents.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardspark.llm.common import checkpointed, slices
+from cardspark.llm.common import checkpointed, shuffle_partitions, slices
 
-#: Words a run of repeated units must have to be removed, and those a unit must have for a run to rest on it.
+#: Words a run of repeated units must have to be removed, and those a unit must have for a run to rest on it, or a whole
+#: line to be removed whatever stands around it.
 RUN_WORDS, STRONG_WORDS = 25, 6
 #: A unit ends at a line end, or after white space that follows a sentence's end or leads to a capital letter after a small one.
 _CUT = re.compile(r"\n+|(?<=[.!?])[^\S\n]+|(?<=[^\W\d_A-ZÀ-ÖØ-Þ])[^\S\n]+(?=[A-ZÀ-ÖØ-Þ][^\W\d_A-ZÀ-ÖØ-Þ])")
@@ -39,12 +43,88 @@ def units(text: str) -> Iterator[tuple[int, int, str, int]]:
         start = cut.end() if cut else end
 
 
+def stretches(words: list[int], run_words: int) -> Iterator[tuple[int, int]]:
+    """First and last unit of the shortest stretches of ``run_words`` words from each unit on and up to each unit."""
+    total = start = 0
+    fresh = 0  # units before this one have had their stretch
+    for last, n in enumerate(words):
+        total += n
+        while total - words[start] >= run_words:
+            total -= words[start]
+            start += 1
+        if total >= run_words:
+            for k in range(min(fresh, start), start + 1):
+                yield k, last
+            fresh = start + 1
+
+
+def sums(words: list[int]) -> tuple[list[int], list[int]]:
+    """Running totals of all words, and of those in units that a run can rest on; a run is strong if these are half of its words."""
+    return [0, *accumulate(words)], [0, *accumulate([n if n >= STRONG_WORDS else 0 for n in words])]
+
+
+def joint(text: str, own: list[tuple[int, int, str, int]], run_words: int) -> tuple[set[int], set[tuple[int, int]]]:
+    """Units that are whole lines of some words, and (first, last) of longer lines and of stretches to be hashed as one.
+
+    Stretches are those that no run can rest on; at least half of their units must differ from each other.
+    """
+    alone, longer = set(), set()
+    words = [u[3] for u in own]
+    total, strong = sums(words)
+    first = 0
+    for k in range(len(own)):
+        if k + 1 == len(own) or "\n" in text[own[k][1] : own[k + 1][0]]:
+            if total[k + 1] - total[first] >= STRONG_WORDS:
+                alone.add(k) if k == first else longer.add((first, k))
+            first = k + 1
+    for a, b in stretches(words, run_words) if total[-1] >= run_words else ():
+        if 2 * (strong[b + 1] - strong[a]) < total[b + 1] - total[a] and 2 * len({u[2] for u in own[a : b + 1]}) > b - a:
+            longer.add((a, b))
+    return alone, longer
+
+
+def chosen(rows: list[tuple], run_words: int) -> Iterator[tuple[int, int, int, object]]:
+    """Start, end, words and smallest first id of a document's spans, from its repeated rows (seq, last, start, end, words, first id)."""
+    reach: dict[int, int] = {}
+    for seq, last, *_ in rows:
+        reach[seq] = max(last, reach.get(seq, -1))
+    own = sorted((r for r in rows if r[4]), key=lambda r: r[0])
+    bounds = [0, *(k for k in range(1, len(own)) if own[k][0] != own[k - 1][0] + 1), len(own)]
+    for a, b in zip(bounds, bounds[1:]):
+        run = own[a:b]
+        words = [r[4] for r in run]
+        go, until = [False] * len(run), -1
+        total, strong = sums(words)
+        if total[-1] >= run_words:
+            if 2 * strong[-1] >= total[-1]:
+                go = [True] * len(run)
+            else:
+                for i, j in stretches(words, run_words):
+                    if 2 * (strong[j + 1] - strong[i]) >= total[j + 1] - total[i]:
+                        go[i : j + 1] = [True] * (j + 1 - i)
+        for k, r in enumerate(run):
+            until = max(until, reach[r[0]])
+            go[k] = go[k] or until >= r[0]
+        k = 0
+        while k < len(run):
+            if not go[k]:
+                k += 1
+                continue
+            first = k
+            while k < len(run) and go[k]:
+                k += 1
+            ids = [r[5] for r in run[first:k] if r[5] is not None]
+            yield run[first][2], run[k - 1][3], sum(words[first:k]), min(ids, default=None)
+
+
 def repeated_spans(df: DataFrame, text: str = "text", id_column: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
     """What is to be removed: one row per span.
 
     Returns ``id_column``, ``text_hash`` (of the whole text), ``start`` and ``end`` (characters of the text
     as it is), ``n_words`` and ``first_doc_id`` (the smallest id of a document that keeps one of the
-    span's units).  Units are ranked by document id (null last), then the text's hash, then position.
+    span's units).  Removed are repeated whole lines of ``STRONG_WORDS`` words, stretches of units with
+    ``run_words`` words that repeat as one, and runs of repeated units with ``run_words`` words, half of
+    them in units of ``STRONG_WORDS``.  Units are ranked by document id (null last), then the text's hash, then position.
     Rows repeated with the same id and text are one document and keep or lose the same spans.  Null
     and empty texts, and texts without words, have none; other columns are ignored, whatever
     their names; an empty table gives an empty result.
@@ -55,34 +135,75 @@ def repeated_spans(df: DataFrame, text: str = "text", id_column: str = "doc_id",
         import xxhash
 
         digest = xxhash.xxh3_128_digest
-        for batch in slices(batches, "t"):
-            row, high, low, seq, start, end, words = [], [], [], [], [], [], []
+        for batch in slices(batches, "t", 1 << 20):
+            row, high, low, seq, last, start, end, words = [], [], [], [], [], [], [], []
             for k, t in enumerate(batch.column("t").to_pylist()):
-                for n, (a, b, form, count) in enumerate(units(t)):
+                own = list(units(t))
+                alone, longer = joint(t, own, run_words)
+                single = ((n, n if n in alone else -1, *u) for n, u in enumerate(own))
+                # No words: lines and stretches say only which units go.
+                for n, to, a, b, form, count in chain(single, ((i, j, 0, 0, "\n".join([u[2] for u in own[i : j + 1]]), 0) for i, j in longer)):
                     raw = digest(form)
                     row.append(k)
                     high.append(int.from_bytes(raw[:8], "big", signed=True))
                     low.append(int.from_bytes(raw[8:], "big", signed=True))
                     seq.append(n)
+                    last.append(to)
                     start.append(a)
                     end.append(b)
                     words.append(count)
             kept = batch.select(["id", "text_hash"]).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(high, pa.int64()), pa.array(low, pa.int64()), *(pa.array(x, pa.int32()) for x in (seq, start, end, words))], names=["id", "text_hash", "high", "low", "seq", "start", "end", "words"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(high, pa.int64()), pa.array(low, pa.int64()), *(pa.array(x, pa.int32()) for x in (seq, last, start, end, words))], names=["id", "text_hash", "high", "low", "seq", "last", "start", "end", "words"])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, (None,)):
+            held += [batch] if batch is not None and batch.num_rows else []
+            if not held:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids, hashes = table.column("id").chunk(0), table.column("text_hash").to_numpy()
+            other = pa.compute.fill_null(pa.compute.not_equal(ids[1:], ids[:-1]), False).to_numpy(zero_copy_only=False)
+            there = ids.is_valid().to_numpy(zero_copy_only=False)
+            new = np.append(True, other | (there[1:] != there[:-1]) | (hashes[1:] != hashes[:-1]))
+            stop = table.num_rows if batch is None else int(np.flatnonzero(new)[-1])  # the last document may go on
+            held, table = table.slice(stop).to_batches() if stop < table.num_rows else [], table.slice(0, stop)
+            if not stop:
+                continue
+            doc = np.cumsum(new[:stop])
+            seq = table.column("seq").to_numpy()
+            order = np.lexsort((seq, doc))
+            doc, seq = doc[order], seq[order]
+            starts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (seq[1:] > seq[:-1] + 1)))
+            # Runs that may have a span: with enough words, or with something that repeats as one.
+            words, last = (table.column(c).to_numpy()[order] for c in ("words", "last"))
+            some = (np.add.reduceat(words.astype(np.int64), starts) >= run_words) | (np.maximum.reduceat(last, starts) >= 0)
+            ends = np.append(starts[1:], stop)
+            rows = order[np.repeat(some, ends - starts)]
+            part = table.take(pa.array(rows))
+            found = list(zip(*(part.column(c).to_pylist() for c in ("seq", "last", "start", "end", "words", "first_doc_id"))))
+            at, owner, out = 0, [], []
+            for n in (ends - starts)[some].tolist():
+                spans = list(chosen(found[at : at + n], run_words))
+                owner += [at] * len(spans)
+                out += spans
+                at += n
+            if out:
+                whose = part.select(["id", "text_hash"]).combine_chunks().take(pa.array(owner, pa.int64()))
+                kinds = (pa.int32(), pa.int32(), pa.int64(), ids.type)
+                yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in whose.columns), *(pa.array(x, t) for x, t in zip(zip(*out), kinds))], names=["id", "text_hash", "start", "end", "n_words", "first_doc_id"])
 
     texts = df.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL AND t <> ''")
-    found = texts.mapInArrow(cut, f"id {kind}, text_hash long, high long, low long, seq int, start int, end int, words int")
+    found = texts.mapInArrow(cut, f"id {kind}, text_hash long, high long, low long, seq int, last int, start int, end int, words int")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "seq")
     # Partial sums come first, so a digest that very many documents share sends few rows.  Checkpointed, both sides of
     # the join come straight from their exchange, and adaptive execution can split such a digest there.
     first = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last")
     first = checkpointed(first.select("high", "low", "first"))
-    others = found.join(first, ["high", "low"]).where(F.col("first") != rank).select("id", "text_hash", "seq", "start", "end", "words", F.col("first.id").alias("first_doc_id")).distinct()
-    # Runs of neighbouring units, document by document.
-    own = Window.partitionBy("id", "text_hash").orderBy("seq")
-    runs = others.withColumn("run", F.col("seq") - F.row_number().over(own))
-    spans = runs.groupBy("id", "text_hash", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.sum(F.when(F.col("words") >= STRONG_WORDS, F.col("words")).otherwise(0)).alias("strong"), F.min("first_doc_id").alias("first_doc_id"))
-    spans = spans.where((F.col("n_words") >= run_words) & (2 * F.col("strong") >= F.col("n_words")))
+    others = found.join(first, ["high", "low"]).where(F.col("first") != rank).select("id", "text_hash", "seq", "last", "start", "end", "words", F.col("first.id").alias("first_doc_id")).distinct()
+    # Document by document.
+    own = others.repartition(shuffle_partitions(df.sparkSession), "id", "text_hash").sortWithinPartitions("id", "text_hash")
+    spans = own.mapInArrow(pick, f"id {kind}, text_hash long, start int, end int, n_words long, first_doc_id {kind}")
     return spans.select(F.col("id").alias(id_column), "text_hash", "start", "end", "n_words", "first_doc_id")
 
 

@@ -138,6 +138,33 @@ def test_repeated_spans(spark):
     assert repeated_spans(df.limit(0)).count() == 0 and remove_repeated(df.limit(0)).count() == 0
 
 
+def test_repeated_lines_and_passages_of_short_units(spark):
+    draw = random.Random(21)
+    sentence = lambda n: " ".join(words(draw, n)).capitalize() + "."
+    line, pair = sentence(7), sentence(3) + " " + sentence(4)
+    short = [" ".join(sentence(draw.choice([3, 4, 5])) for _ in range(16)) for _ in range(5)]
+    rows, planted = [], []
+    for k in range(60):
+        what = draw.choice([line, pair, *short])
+        rows.append((k, sentence(12) + "\n" + what + "\n" + sentence(9) if what in (line, pair) else sentence(12) + " " + what + " " + sentence(9)))
+        planted.append(what)
+    found = {r.doc_id: r for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for k, what in enumerate(planted):
+        first = planted.index(what)
+        if k == first:
+            assert k not in found
+        else:
+            at = rows[k][1].index(what)
+            assert (found[k].start, found[k].end, found[k].n_words, found[k].first_doc_id) == (at, at + len(what), len(what.split()), first)
+
+
+def test_short_units_that_only_repeat_one_by_one_stay(spark):
+    draw = random.Random(22)
+    own = [" ".join(words(draw, 4)).capitalize() + "." for _ in range(40)]
+    rows = [(1, " ".join(own)), (2, "Odd start here. " + " ".join(draw.sample(own, 40)) + " Odd end here.")]
+    assert repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
 def test_rows_repeated_under_one_id_are_one_document(spark):
     text = " ".join(words(random.Random(1), 40)).capitalize() + "."
     df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
