@@ -224,6 +224,11 @@ def test_exception_phrases_excuse_hits():
     assert lexicon.hits(toxicity.folded("trash, and the trash can"))[0] == 4.0
 
 
+def test_oracles_are_sql():
+    assert queries.oracle_sql() and all(isinstance(sql, str) for sql in queries.oracle_sql().values())
+    assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
 URLS = [
     ("http://m.casino-win.example.com/en/4846#top", "m.casino-win.example.com", "/en/4846", "com/en/", "block"),
     ("http://casino.example.com/en/7?x", "casino.example.com", "/en/7", "example.com/en/7", "allow"),
