@@ -3,27 +3,30 @@
 A document is the set of its distinct word shingles; equal sets go on as one, under a hash of the set.
 
 1. Two sets that are similar enough share a shingle among the first of each, in any order that all
-   sets agree on.  Those first shingles are dealt out by their hashes.  Shingles that very many sets
-   share are put last in the order and the sets that had them among their first are dealt out again,
-   until no more such shingles turn up.
+   sets agree on.  A first pass counts, within a bound in each task, the shingles that come first in
+   hash order; those that very many sets share are put last in the order.  A second pass deals out
+   each set's first shingles by their hashes.  Where a shingle still turns out to be crowded, it is
+   put last as well and the sets that had it among their first are dealt out again.
 2. Sets that meet at a shingle form a bundle around the one with the smallest hash; a set goes to a
-   bundle once, however many shingles it shares.
+   bundle once, however many shingles it shares.  What stands before the shingle in a set bounds how
+   much it can share with another: sets without a possible partner at a shingle are left out there.
 3. In a bundle the sets' token bitmaps are the leaves of a signature tree whose nodes hold the
    OR of their bitmaps and the range of sizes.  A dual traversal drops pairs of nodes whose largest possible
    overlap is too small.  Sets without any partner left drop out.
    Pairs that share a smaller bundle are left to it.
 4. The texts of the rest come to their bundles, and pairs that the tree left are compared exactly, but
    for pairs that are connected already.  Large bundles are worked on in chunks, each with the
-   bundle's first set; only what no chunk connects to that set is compared across chunks.
+   bundle's first set; only what no chunk connects to that set is compared across chunks, again but
+   for pairs that are connected already.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,12 @@ COMMON_SETS, MOST_COMMON_SETS, COMMON_SHARE = 64, 1024, 1 / 16384
 BROADCAST_IDS = 1_000_000
 #: How often common shingles are put last before cells are taken as they are.
 ROUNDS = 3
+#: A task counts shingles that at least 1 / LOCAL_SHARE of its sets show; shingles held before they are summed up.
+LOCAL_SHARE, HELD_SHINGLES = 2048, 1 << 19
+#: Set hashes or labels that a task remembers; past that it forgets them all, which costs repeated rows only.
+REMEMBERED = 1 << 19
+#: Rows of a shingle that are held at least before they are passed on as they come, and bits of a place in a set.
+CELL_ROWS, PLACE_BITS = 1 << 19, 7
 
 
 def least_overlap(total: np.ndarray, percent: int) -> np.ndarray:
@@ -180,39 +189,86 @@ class Joined:
         self.up[max(a, b)] = min(a, b)
 
 
+class Often:
+    """Counts of the shingles that many of a task's sets show, within a bound; what is rare is forgotten."""
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+        self.size = self.sets = 0
+        self.token, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, shingles: np.ndarray) -> None:
+        self.held.append(shingles)
+        self.size += len(shingles)
+        self.sets += 1
+        if self.size > HELD_SHINGLES:
+            self.fold()
+
+    def fold(self) -> None:
+        new, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.held]), return_counts=True)
+        both = np.concatenate((self.token, new))
+        self.token, where = np.unique(both, return_inverse=True)
+        self.count = np.bincount(where, weights=np.concatenate((self.count, n)), minlength=len(self.token)).astype(np.int64)
+        kept = self.count >= max(2, self.sets // LOCAL_SHARE)
+        self.token, self.count, self.held, self.size = self.token[kept], self.count[kept], [], 0
+
+
+class Seen:
+    """Set hashes met before, within a bound."""
+
+    def __init__(self):
+        self.keys: set[int] = set()
+
+    def new(self, key: int) -> bool:
+        if key in self.keys:
+            return False
+        if len(self.keys) >= REMEMBERED:
+            self.keys.clear()
+        self.keys.add(key)
+        return True
+
+
 def document_sets(df: DataFrame, percent: int, text: str, id_column: str) -> DataFrame:
-    """Per row: id, number of shingles, set hash, bitmap, and the first shingles in hash order."""
+    """Per row: id, number of shingles, set hash and bitmap (null where the task showed the set before).
+
+    Each task adds a row with ``n`` -1: its frequent first shingles and their counts, packed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen, often = Seen(), Often()
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names = ["id", "n", "key", "bits", "counts"]
         for batch in slices(batches, "t"):
-            n, key, bits, first = [], [], [], []
+            n, key, bits = [], [], []
             named = batch.column("id").is_valid().to_pylist()
             for s, takes_part in zip(shingle_sets(batch.column("t").cast(pa.binary()).to_pylist()), named):
                 k = set_hash(s)
-                new = takes_part and len(s) > 0 and k not in seen  # a task shows each set once
-                if new:
-                    seen.add(k)
+                new = takes_part and len(s) > 0 and seen.new(k)
                 n.append(len(s))
                 key.append(k)
                 bits.append(bitmap(s) if new else None)
-                first.append(s[: first_count(len(s), percent)].tobytes() if new else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.binary()), pa.array(first, pa.binary())], names=["id", "n", "key", "bits", "first"])
+                if new:
+                    often.add(s[: first_count(len(s), percent)])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, t) for x, t in zip((n, key, bits, [None] * len(n)), kinds[1:]))], names=names)
+        often.fold()
+        if len(often.token):
+            last = ([None], [-1], [0], [often.token.tobytes()], [often.count.tobytes()])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(last, kinds)], names=names)
 
-    return df.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "id long, n long, key long, bits binary, first binary")
+    return df.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "id long, n long, key long, bits binary, counts binary")
 
 
-def _shown(sets: DataFrame) -> DataFrame:
-    """(token, key, n) of the first shingles in hash order."""
+def _often(sets: DataFrame, least: int) -> np.ndarray:
+    """Shingles that the tasks together counted ``least`` times or more, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "first", 1 << 20):
-            raw = batch.column("first").to_pylist()
-            size = [len(x) // 8 for x in raw]
-            key, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), size) for c in ("key", "n"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), "<i8")), pa.array(key), pa.array(n.astype(np.int32))], names=["token", "key", "n"])
+        for batch in batches:
+            for token, count in zip(batch.column("bits").to_pylist(), batch.column("counts").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(token, "<i8")), pa.array(np.frombuffer(count, "<i8"))], names=["token", "c"])
 
-    return sets.where("first IS NOT NULL").select("first", "key", "n").mapInArrow(run, "token long, key long, n int")
+    counted = sets.where("n = -1").select("bits", "counts").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    # At most the shingles shown, divided by ``least``.
+    return np.sort(np.array([r["token"] for r in counted.select("token").collect()], dtype=np.int64).view(np.uint64))
 
 
 def is_common(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -227,65 +283,130 @@ def first_of(shingles: np.ndarray, common: np.ndarray, percent: int) -> np.ndarr
     return np.concatenate((shingles[~late], shingles[late]))[: first_count(len(shingles), percent)]
 
 
-def _shown_again(df: DataFrame, percent: int, text: str, before: np.ndarray, common: np.ndarray) -> DataFrame:
-    """(token, key, n) anew for the sets that had one of the newly common shingles among their first."""
+def _shown(df: DataFrame, percent: int, text: str, common: np.ndarray, before: np.ndarray | None = None) -> DataFrame:
+    """(token, key, size) of each set's first shingles; ``size`` holds the set's size and, in its low bits, the shingle's place.
+
+    With ``before``, only of the sets that had a shingle among their first that has become common since.
+    """
     shared = df.sparkSession.sparkContext.broadcast((before, common))  # bounded: see COMMON_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (old, new), seen = shared.value, set()
-        fresh = np.setdiff1d(new, old)
+        (old, new), seen = shared.value, Seen()
+        fresh = None if old is None else np.setdiff1d(new, old)
         for batch in slices(batches, "t"):
-            token, key, n = [], [], []
+            token, key, size = [], [], []
             for s in shingle_sets(batch.column("t").cast(pa.binary()).to_pylist()):
-                if len(s) and is_common(first_of(s, old, percent), fresh).any():
+                n = len(s)
+                if n and (fresh is None or is_common(first_of(s, old, percent), fresh).any()):
                     k = set_hash(s)
-                    if k not in seen:
-                        seen.add(k)
+                    if seen.new(k):
                         token.append(first_of(s, new, percent))
-                        key.append(np.full(len(token[-1]), k, dtype=np.int64))
-                        n.append(np.full(len(token[-1]), len(s), dtype=np.int32))
+                        place = (np.arange(len(token[-1]), dtype=np.int64) << PLACE_BITS) // n
+                        key.append(np.full(len(place), k, dtype=np.int64))
+                        size.append(place + (n << PLACE_BITS))
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(key)), pa.array(np.concatenate(n))], names=["token", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(key)), pa.array(np.concatenate(size))], names=["token", "key", "size"])
+
+    return df.select(F.col(text).cast("string").alias("t")).where("t IS NOT NULL").mapInArrow(run, "token long, key long, size long")
 
-    return df.select(F.col(text).cast("string").alias("t")).where("t IS NOT NULL").mapInArrow(run, "token long, key long, n int")
+
+def partnered(cell: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets have another in their cell whose size allows for enough overlap.
+
+    Cells are numbered upwards and sorted by ``n``; ``rest`` bounds how many shingles a set has from the
+    cell's on, which is the most that it shares with a set that it shares none of the earlier ones with.
+    """
+    low, high = -(-percent * n // 100), np.minimum(rest * (100 + percent) // percent - n, 100 * n // percent)
+    at = (cell << 32) + n
+    others = np.searchsorted(at, (cell << 32) + high, side="right") - np.searchsorted(at, (cell << 32) + low) - (high >= n)
+    return others > 0
 
 
 def _bundles(shown: DataFrame, percent: int, most: int | None, parts: int, late: np.ndarray) -> DataFrame:
     """Sets that meet at a shingle: (pivot, member), and (null, token) for shingles that more than ``most`` sets share.
 
     Shingles in ``late`` stand last already: dealing their sets out again would show them again, so they are taken whole.
+    Rows come sorted; what a task holds is bounded, as a shingle with more rows is passed on as they come.
     """
     last = shown.sparkSession.sparkContext.broadcast(late)  # bounded: see COMMON_SHARE
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32())]))
-        if not table.num_rows:
-            return
-        token, key, n = (table.column(c).to_numpy() for c in ("token", "key", "n"))
-        order = np.lexsort((key, n, token))
-        token, key, n = token[order], key[order], n[order].astype(np.int64)
-        again = np.zeros(len(token), dtype=bool)  # one set shown by several tasks
-        again[1:] = (token[1:] == token[:-1]) & (key[1:] == key[:-1])
-        token, key, n = token[~again], key[~again], n[~again]
+    held_rows, piece_rows = max(CELL_ROWS, 2 * (most or 0)), CELL_ROWS // 4
+
+    def rows(pivot: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(np.stack((pivot, member), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["pivot", "member"])
+
+    def crowded(tokens: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(tokens), pa.int64()), pa.array(tokens)], names=["pivot", "member"])
+
+    def whole(token: np.ndarray, key: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """All sets of some shingles."""
+        n = size >> PLACE_BITS
+        rest = n - ((size & ((1 << PLACE_BITS) - 1)) * n >> PLACE_BITS)
+        for _ in range(2):  # the second time without those that have no partner
+            cell = np.cumsum(np.append(True, token[1:] != token[:-1]))
+            fine = partnered(cell, n, rest, percent)
+            token, key, n, rest = token[fine], key[fine], n[fine], rest[fine]
+            if not len(token):
+                return
         # Cells end where the shingle changes, or where sizes leave a gap that no similar pair can bridge.
-        new = np.ones(len(token), dtype=bool)
-        new[1:] = (token[1:] != token[:-1]) | (percent * n[1:] > 100 * n[:-1])
-        cell = np.cumsum(new) - 1
+        new = np.append(True, (token[1:] != token[:-1]) | (percent * n[1:] > 100 * n[:-1]))
         starts = np.flatnonzero(new)
-        size = np.diff(np.append(starts, len(token)))
-        pivot = np.minimum.reduceat(key, starts)
-        wanted = size > 1
+        count = np.diff(np.append(starts, len(token)))
+        wanted = count > 1
         if most is not None:
-            crowded = (size > most) & ~is_common(token[starts].view(np.uint64), last.value)
-            wanted &= ~crowded
-            common = np.unique(token[starts[crowded]])
-            if len(common):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(common), pa.int64()), pa.array(common)], names=["pivot", "member"])
-        rows = wanted[cell]
-        pairs = np.unique(np.stack((pivot[cell][rows], key[rows]), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["pivot", "member"])
+            over = (count > most) & ~is_common(token[starts].view(np.uint64), last.value)
+            wanted &= ~over
+            if over.any():
+                yield crowded(np.unique(token[starts[over]]))
+        if wanted.any():
+            kept = np.repeat(wanted, count)
+            yield rows(np.repeat(np.minimum.reduceat(key, starts), count)[kept], key[kept])
 
-    return shown.repartition(parts, "token").mapInArrow(run, "pivot long, member long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, ...]] = []
+        held, open_token, pivot, at = 0, None, None, 0
+        for batch in chain(batches, (None,)):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                waiting.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "key", "size")))
+                held += batch.num_rows
+            if not held or batch is not None and held < piece_rows:
+                continue
+            token, key, size = (np.concatenate(x) for x in zip(*waiting))
+            again = np.append(False, (token[1:] == token[:-1]) & (key[1:] == key[:-1]))  # one set shown by several tasks
+            token, key, size = token[~again], key[~again], size[~again]
+            if open_token is not None:  # a shingle with very many rows goes on
+                own = int(np.searchsorted(token, open_token, side="right"))
+                if own and pivot is not None:
+                    n = size[:own] >> PLACE_BITS
+                    gap = np.append(percent * n[0] > 100 * at, percent * n[1:] > 100 * n[:-1])
+                    starts = np.flatnonzero(np.append(True, gap[1:]))
+                    pivots = key[starts]
+                    pivots[0] = pivots[0] if gap[0] else pivot
+                    yield rows(np.repeat(pivots, np.diff(np.append(starts, own))), key[:own])
+                    pivot, at = pivots[-1], n[-1]
+                token, key, size = token[own:], key[own:], size[own:]
+                open_token = open_token if not len(token) and batch is not None else None
+            stop = len(token) if batch is None else int(np.searchsorted(token, token[-1])) if len(token) else 0  # the last shingle may go on
+            if stop:
+                yield from whole(token[:stop], key[:stop], size[:stop])
+                token, key, size = token[stop:], key[stop:], size[stop:]
+            if len(token) > held_rows:
+                open_token, pivot = token[0], None
+                if most is not None and not is_common(token[:1].view(np.uint64), last.value)[0]:
+                    yield crowded(token[:1])
+                else:
+                    n = size >> PLACE_BITS
+                    starts = np.flatnonzero(np.append(True, percent * n[1:] > 100 * n[:-1]))
+                    pivots = np.minimum.reduceat(key, starts)
+                    yield rows(np.repeat(pivots, np.diff(np.append(starts, len(key)))), key)
+                    pivot, at = pivots[-1], n[-1]
+                token, key, size = token[:0], key[:0], size[:0]
+            waiting, held = ([(token, key, size)], len(token)) if len(token) else ([], 0)
+
+    dealt = shown.repartition(parts, "token").sortWithinPartitions("token", "size", "key")
+    return dealt.mapInArrow(run, "pivot long, member long")
 
 
 def _units(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -340,7 +461,10 @@ def _read_sets(unit: pa.Table) -> tuple[list[int], list[np.ndarray]]:
 
 
 def _linked(texts: DataFrame, percent: int) -> DataFrame:
-    """Exact links within chunks: (a, b, pivot, chunk); b is null for a set that its chunk doesn't connect to the pivot."""
+    """Exact links within chunks: (a, b, pivot, root).
+
+    ``b`` is null for a set that its chunk doesn't connect to the pivot; ``root`` then stands for those that the chunk connects it to.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (pivot, chunk), unit in _units(batches, ["pivot", "chunk"]):
@@ -352,7 +476,7 @@ def _linked(texts: DataFrame, percent: int) -> DataFrame:
             whole = unit.column("chunks")[0].as_py() == 1
             first = dict(zip(unit.column("member").to_pylist(), unit.column("primary").to_pylist()))
             primary = np.array([first[k] for k in keys])
-            joined, a, b = Joined(len(keys)), [], []
+            joined, a, b, root = Joined(len(keys)), [], [], []
             tree = SignatureTree(np.array([len(s) for s in sets]), [bitmap(s) for s in sets])
             found = list(tree.pairs(percent))
             i, j = (np.concatenate([x[k] for x in found]) for k in (0, 1)) if found else (np.zeros(0, int),) * 2
@@ -367,43 +491,60 @@ def _linked(texts: DataFrame, percent: int) -> DataFrame:
                     joined.join(p, q)
                     a.append(keys[x])
                     b.append(keys[y])
+                    root.append(None)
             if not whole:
                 anchor = joined.root(0) if keys[0] == pivot else None
                 for k in range(len(keys)):
                     if joined.root(k) != anchor:
                         a.append(keys[k])
                         b.append(None)
+                        root.append(keys[joined.root(k)])
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([pivot] * len(a), pa.int64()), pa.array([chunk] * len(a), pa.int32())], names=["a", "b", "pivot", "chunk"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, [pivot] * len(a), root)], names=["a", "b", "pivot", "root"])
 
-    return texts.mapInArrow(run, "a long, b long, pivot long, chunk int")
+    return texts.mapInArrow(run, "a long, b long, pivot long, root long")
 
 
 def _linked_across(texts: DataFrame, percent: int) -> DataFrame:
-    """Exact links of the sets left over (kind 0, at most a chunk's worth) with all sets of their bundle that stream past (kind 1)."""
+    """Exact links of the sets left over (kind 0, at most a chunk's worth) with all sets of their bundle that stream past (kind 1).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, keys, sets, joined, past = None, [], [], {}, []
+    ``label`` says which sets are connected already; a link is passed on only if it connects more.
+    """
 
-        def met(stream_keys: list[int], stream: list[np.ndarray]) -> pa.RecordBatch | None:
-            a, b = [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, keys, sets, labels, up = None, [], [], [], {}
+
+        def root(label: int) -> int:
+            while (above := up.setdefault(label, label)) != label:
+                up[label] = up.setdefault(above, above)
+                label = above
+            return label
+
+        def met(stream_keys: list[int], stream: list[np.ndarray], stream_labels: list[int]) -> pa.RecordBatch | None:
+            a, b, n = [], [], len(sets)
+            if len(up) > REMEMBERED:
+                up.clear()
             both = SignatureTree(np.array([len(s) for s in sets + stream]), [bitmap(s) for s in sets + stream])
-            n = len(sets)
             for i, j in both.pairs(percent):
                 for x, y in zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()):
-                    if x < n <= y and keys[x] != stream_keys[y - n] and similar(sets[x], stream[y - n], percent):
-                        a.append(keys[x])
-                        b.append(stream_keys[y - n])
+                    if x < n <= y:
+                        p, q = root(labels[x]), root(stream_labels[y - n])
+                        if p != q and similar(sets[x], stream[y - n], percent):
+                            up[max(p, q)] = min(p, q)
+                            a.append(keys[x])
+                            b.append(stream_keys[y - n])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if a else None
 
         for (pivot, block, kind, part), unit in _units(batches, ["pivot", "block", "kind", "part"]):
             own_keys, own_sets = _read_sets(unit)
+            label = dict(zip(unit.column("member").to_pylist(), unit.column("label").to_pylist()))
+            own_labels = [label[k] for k in own_keys]
             if kind == 0:
                 if (pivot, block) != held_key:
-                    held_key, keys, sets = (pivot, block), [], []
-                keys, sets = keys + own_keys, sets + own_sets
+                    held_key, keys, sets, labels, up = (pivot, block), [], [], [], {}
+                keys, sets, labels = keys + own_keys, sets + own_sets, labels + own_labels
             elif (pivot, block) == held_key and own_sets and sets:
-                if out := met(own_keys, own_sets):
+                if out := met(own_keys, own_sets, own_labels):
                     yield out
 
     return texts.mapInArrow(run, "a long, b long")
@@ -432,18 +573,19 @@ def similar_documents(df: DataFrame, percent: int = 75, text: str = "text", id_c
     ignored, whatever their names; an empty table gives an empty result.
     """
     spark = df.sparkSession
-    sets = checkpointed(document_sets(df, percent, text, id_column))
-    taking_part = sets.where("n > 0 AND id IS NOT NULL")
-    own = taking_part.groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("bits").alias("bits"))
+    shown_sets = checkpointed(document_sets(df, percent, text, id_column))
+    sets = shown_sets.where("n >= 0")
+    own = sets.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("bits").alias("bits"))
     own = checkpointed(own)
     n_sets = own.count()
     most = max(COMMON_SETS, min(n_sets // 1024, MOST_COMMON_SETS), int(n_sets * COMMON_SHARE))
     parts = shuffle_partitions(spark)
 
-    shown, common, stars = _shown(taking_part), np.zeros(0, dtype=np.uint64), None
+    named = df.where(F.col(id_column).isNotNull())
+    before, common, stars = None, _often(shown_sets, max(2, most // 2)), None
     for turn in range(ROUNDS):
         last = turn == ROUNDS - 1
-        found = checkpointed(_bundles(shown, percent, None if last else most, parts, common))
+        found = checkpointed(_bundles(_shown(named, percent, text, common, before), percent, None if last else most, parts, common))
         met = found.where("pivot IS NOT NULL")
         stars = met if stars is None else stars.unionByName(met)
         # At most the shingles shown, divided by ``most``.
@@ -451,7 +593,6 @@ def similar_documents(df: DataFrame, percent: int = 75, text: str = "text", id_c
         if not fresh:
             break
         before, common = common, np.unique(np.concatenate((common, np.array(fresh, dtype=np.int64).view(np.uint64))))
-        shown = _shown_again(df.where(F.col(id_column).isNotNull()), percent, text, before, common)
 
     # A pair of sets is compared in the smallest bundle that it shares.  A set's primary bundle is its smallest: sets
     # with one primary bundle meet there, and need not be compared with each other in any other.
@@ -478,16 +619,17 @@ def similar_documents(df: DataFrame, percent: int = 75, text: str = "text", id_c
     # What is left to compare across: sets that no chunk connects to the pivot, and those of another primary bundle
     # in large bundles whose sets mostly meet elsewhere.
     mixed = large.where("major <> pivot").select("pivot", "member", "primary", "major", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
-    left = within.where("b IS NULL").select("pivot", F.col("a").alias("member")).unionByName(mixed.where("primary <> major").select("pivot", "member"))
-    left = checkpointed(left.distinct())
+    left = within.where("b IS NULL").select("pivot", F.col("a").alias("member"), F.col("root").alias("label")).unionByName(mixed.where("primary <> major").select("pivot", "member", F.col("member").alias("label")))
+    left = checkpointed(left.groupBy("pivot", "member").agg(F.min("label").alias("label")))
     if not left.isEmpty():
         # Blocks of what is left, each met by its whole bundle.
         blocks = checkpointed(left.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("blocks")))
-        home = left.join(blocks, "pivot").select("pivot", "member", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), F.lit(0).alias("part"))
-        stream = flagged.select("pivot", "member", "chunks").unionByName(mixed.select("pivot", "member", "chunks"))
-        stream = stream.join(blocks, "pivot").select("pivot", "member", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(1).alias("kind"), F.pmod(F.xxhash64("member", F.lit(1)), F.col("chunks")).cast("int").alias("part"))
+        home = left.join(blocks, "pivot").select("pivot", "member", "label", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), F.lit(0).alias("part"))
+        stream = flagged.select("pivot", "member", "chunks", F.col("pivot").alias("other")).unionByName(mixed.select("pivot", "member", "chunks", F.col("member").alias("other")))
+        stream = stream.join(left, ["pivot", "member"], "left").withColumn("label", F.coalesce("label", "other"))
+        stream = stream.join(blocks, "pivot").select("pivot", "member", "label", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(1).alias("kind"), F.pmod(F.xxhash64("member", F.lit(1)), F.col("chunks")).cast("int").alias("part"))
         both = home.unionByName(stream).join(own.select(F.col("key").alias("member"), "id"), "member")
-        both = _with_texts(bodies, checkpointed(both)).select("pivot", "block", "kind", "part", "member", "t")
+        both = _with_texts(bodies, checkpointed(both)).select("pivot", "block", "kind", "part", "member", "label", "t")
         across = _linked_across(both.repartition(parts, "pivot", "block").sortWithinPartitions("pivot", "block", "kind", "part"), percent)
         links = links.unionByName(checkpointed(across))
 

@@ -47,6 +47,24 @@ def test_ngram_join(spark, monkeypatch, common, chunk, tree):
     assert sorted(map(tuple, similar_documents(df).collect())) == helpers.similar_groups(ids, texts)
 
 
+def test_ngram_join_of_a_shingle_that_does_not_fit_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "COMMON_SETS", 4)
+    monkeypatch.setattr(ngram_join, "CHUNK", 16)
+    draw = random.Random(31)
+    own = words(draw, 40)
+    near = [" ".join([*own[: draw.randrange(30, 41)], *(f"v{k}x{j}" for j in range(draw.randrange(5)))]) for k in range(150)]
+    texts = [*near, *(" ".join(words(draw, 30)) for _ in range(20))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = sorted(map(tuple, similar_documents(df).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == helpers.similar_groups(range(len(texts)), texts)
+
+
 def test_ngram_join_of_odd_tables(spark):
     df = spark.createDataFrame([], DOCS)
     assert similar_documents(df).count() == 0
