@@ -3,8 +3,9 @@
 Equal vectors are first drawn together.  The angle between vectors is a metric: each vector has its
 home in the cell of the nearest pivot, and by the triangle inequality a vector within angle r of it
 can lie in another cell's home only if its angle to that cell's pivot exceeds its angle to its own
-by at most 2 r.  So each vector is also sent to the lower-numbered cells within that bound, and
-every pair is met in the lower of its two home cells and nowhere else.  A cell's homes are cut into
+by at most 2 r, and only if its angle to the plane between both pivots is at most r.  So each vector
+is also sent to the lower-numbered cells within these bounds, and every pair is met in the lower of
+its two home cells and nowhere else.  Vectors of different lengths have cells of their own.  A cell's homes are cut into
 blocks; each block is one unit of work that later blocks and visitors stream past, and long streams are cut
 as well, so neither a crowded cell nor a crowd of visitors gathers in one task.
 """
@@ -16,17 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardspark.llm.common import checkpointed, shuffle_partitions
 from cardspark.llm.components import components
 
-#: Home vectors in a block, streamed vectors in a unit of work, and vectors wanted in a cell.
+#: Home vectors in a block, streamed vectors in a unit of work, vectors wanted in a cell; pivots of all lengths together.
 BLOCK_ROWS, STREAM_ROWS, CELL_ROWS, MOST_PIVOTS = 4096, 65536, 4096, 1024
 #: Streamed vectors compared with a block at once.
 STEP_ROWS = 1024
 SLACK = 1e-9
+#: Cells whose lines are broadcast; more meet their vectors by a shuffle.
+BROADCAST_CELLS = 16_384
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -40,10 +44,6 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
-
-
 class Block:
     """A block of home vectors that others stream past."""
 
@@ -102,19 +102,11 @@ def linked_vectors(df: DataFrame, cosine: float, vector: str = "embedding", id_c
     each other; ids are expected to be non-null, and a null id has null ``component_id`` and ``kept``.
     Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    spark = df.sparkSession
     rows = df.select(df[id_column].cast("long").alias("vec_id"), df[vector].cast("array<double>").alias("__vector"))
     usable = rows.where(_usable("__vector")).where("vec_id IS NOT NULL")
     # Equal vectors go on as one, under their smallest id.
     equal = checkpointed(usable.groupBy(F.col("__vector").alias("v")).agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")))
-    sizes = [r["d"] for r in equal.select(F.size("v").alias("d")).distinct().limit(10_000).collect()]
-    found = None
-    for size in sorted(sizes):
-        own = _links(equal.where(F.size("v") == size), cosine)
-        found = own if found is None else found.unionByName(own)
-    if found is None:
-        found = spark.createDataFrame([], "id long, links long, other long")
-    found = checkpointed(found)
+    found = checkpointed(_links(equal, cosine))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     whole = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     groups = checkpointed(
@@ -126,63 +118,88 @@ def linked_vectors(df: DataFrame, cosine: float, vector: str = "embedding", id_c
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def _pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """Pivots by length of vectors, ``MOST_PIVOTS`` or so altogether.
+
+    A length that has few vectors, or a small share of them, has none: its vectors share one cell.
+    """
+    total = vectors.count()
+    least = max(CELL_ROWS + 1, -(-total // MOST_PIVOTS))
+    sizes = vectors.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect()  # at most MOST_PIVOTS
+    out = {}
+    for r in sizes:
+        n = max(1, min(-(-r["n"] // CELL_ROWS), MOST_PIVOTS * r["n"] // total))
+        # Those with the smallest hashes of their ids.
+        chosen = vectors.where(F.size("v") == r["d"]).orderBy(F.xxhash64("id"), "id").limit(n).collect()
+        out[r["d"]] = unit(np.array([x["v"] for x in chosen], dtype=np.float64))
+    return out
+
+
 def _links(vectors: DataFrame, cosine: float) -> DataFrame:
-    """(id, links, other): links found and spanning links, of vectors of one length."""
+    """(id, links, other): links found and spanning links."""
     spark = vectors.sparkSession
-    total = vectors.count()
-    n_pivots = max(1, min(MOST_PIVOTS, -(-total // CELL_ROWS)))
-    # Pivots: the vectors with the smallest hashes of their ids; a bounded number.
-    pivots = unit(np.array([r["v"] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()], dtype=np.float64))
-    reach = 2 * math.acos(max(-1.0, min(1.0, cosine))) + SLACK
-    size = pivots.shape[1]
+    pivots = _pivots(vectors)
+    angle = math.acos(max(-1.0, min(1.0, cosine)))
+    gaps = {d: np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T))) for d, p in pivots.items()}
+    shared = spark.sparkContext.broadcast((pivots, gaps))  # bounded by MOST_PIVOTS
+
+    def cells(d: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row and cell of each copy of the vectors of one length, and each row's home."""
+        pivots, gaps = (x.get(d) for x in shared.value)
+        if pivots is None:
+            none = np.zeros(len(own), dtype=np.intp)
+            return np.arange(len(own)), none, none
+        near = own @ pivots.T
+        home, rows = near.argmax(axis=1), np.arange(len(own))
+        away = np.arccos(np.clip(near, -1.0, 1.0))
+        fine = away <= away[rows, home][:, None] + 2 * angle + SLACK
+        if angle < math.pi / 2:
+            fine &= near[rows, home][:, None] - near <= math.sin(angle) * gaps[home] + SLACK
+        fine &= np.arange(len(pivots))[None, :] < home[:, None]
+        fine[rows, home] = True
+        return *np.nonzero(fine), home
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = unit(matrix(batch.column("v")))
-            away = angles(own, pivots)
-            home = away.argmin(axis=1)
-            near = away <= away[np.arange(len(home)), home][:, None] + reach
-            near &= np.arange(len(pivots))[None, :] < home[:, None]
-            near[np.arange(len(home)), home] = True
-            k, cell = np.nonzero(near)
-            data = pa.array([x.tobytes() for x in own.astype("<f8")], pa.binary())
-            take = pa.array(k)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(home[k] == cell), batch.column("id").take(take), batch.column("n").take(take), data.take(take)], names=["cell", "home", "id", "n", "vector"])
-
-    placed = vectors.select("id", "n", "v").mapInArrow(place, "cell int, home boolean, id long, n long, vector binary")
-    # Two numbers for each pivot.
-    counts: dict[int, list[int]] = {}
-    for r in placed.groupBy("cell", "home").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts.setdefault(r["cell"], [0, 0])[r["home"]] = r["n"]
-    lines = [(cell, -(-homes // BLOCK_ROWS), -(-(visitors + homes) // STREAM_ROWS)) for cell, (visitors, homes) in counts.items() if homes]
-    per_cell = F.broadcast(spark.createDataFrame(lines, "cell int, blocks int, streams int"))  # a line for each pivot
-    dealt = placed.join(per_cell, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("stream", F.pmod(F.xxhash64("id", F.lit(1)), F.col("streams")).cast("int"))
-    base = ["cell", "id", "n", "vector"]
+            lengths = pa.compute.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+            for d in np.unique(lengths):
+                part = batch.filter(pa.array(lengths == d))
+                own = unit(matrix(part.column("v")))
+                k, cell, home = cells(int(d), own)
+                data, take = pa.array([x.tobytes() for x in own.astype("<f8")], pa.binary()), pa.array(k)
+                columns = [pa.array(np.full(len(k), d, dtype=np.int32)), pa.array(cell.astype(np.int32)), pa.array(home[k] == cell)]
+                yield pa.RecordBatch.from_arrays([*columns, part.column("id").take(take), part.column("n").take(take), data.take(take)], names=["size", "cell", "home", "id", "n", "vector"])
+
+    placed = vectors.select("id", "n", "v").mapInArrow(place, "size int, cell int, home boolean, id long, n long, vector binary")
+    homes, visitors = F.count(F.when(F.col("home"), 1)), F.count(F.lit(1))
+    lines = placed.groupBy("size", "cell").agg(homes.alias("h"), visitors.alias("all")).where("h > 0")
+    lines = checkpointed(lines.select("size", "cell", F.ceil(F.col("h") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("all") / STREAM_ROWS).cast("int").alias("streams")))
+    known = lines.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("blocks") * F.col("streams")), F.lit(0)).alias("units")).first()
+    lines = F.broadcast(lines) if known["n"] <= BROADCAST_CELLS else lines
+    dealt = placed.join(lines, ["size", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("stream", F.pmod(F.xxhash64("id", F.lit(1)), F.col("streams")).cast("int"))
     # A home vector is held by every stream of its block, and streams past the blocks before its own; a visitor streams past all blocks.
-    held = dealt.where("home").select(*base, "block", F.explode(F.expr("sequence(0, streams - 1)")).alias("stream"), F.lit(0).alias("kind"))
-    passing = dealt.where("NOT home OR block > 0").select(*base, F.explode(F.expr("sequence(0, if(home, block, blocks) - 1)")).alias("block"), "stream", F.lit(1).alias("kind"))
-    work = held.unionByName(passing)
-    units = sum(b * s for _, b, s in lines)
-    work = work.repartition(max(1, min(2 * units, 4 * shuffle_partitions(spark))), "cell", "block", "stream").sortWithinPartitions("cell", "block", "stream", "kind", "id")
+    held = F.expr("if(home, transform(sequence(0, streams - 1), s -> struct(block, s AS stream, 0 AS kind)), array())")
+    passing = F.expr("if(if(home, block, blocks) > 0, transform(sequence(0, if(home, block, blocks) - 1), b -> struct(b AS block, stream, 1 AS kind)), array())")
+    work = dealt.select("size", "cell", "id", "n", "vector", F.explode(F.concat(held, passing)).alias("x")).select("size", "cell", "x.block", "x.stream", "x.kind", "id", "n", "vector")
+    keys = ["size", "cell", "block", "stream"]
+    work = work.repartition(max(1, min(2 * known["units"], 4 * shuffle_partitions(spark))), *keys).sortWithinPartitions(*keys, "kind", "id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _met(batches, size, cosine):
+        for rows in _met(batches, cosine):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["id", "links", "other"])
 
     return work.mapInArrow(meet, "id long, links long, other long")
 
 
-def _met(batches: Iterator[pa.RecordBatch], size: int, cosine: float) -> Iterator[list[tuple[int, int, int]]]:
+def _met(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[list[tuple[int, int, int]]]:
     """Reads sorted units of work, each a block's home vectors and then those that stream past."""
     key, waiting, block = None, [], None
 
     def opened() -> Iterator[list[tuple[int, int, int]]]:
         nonlocal waiting, block
         block, waiting = Block(*(np.concatenate(x) for x in zip(*waiting)), cosine), []
-        if key[2] == 0:  # pairs within the block belong to its first stream
+        if key[3] == 0:  # pairs within the block belong to its first stream
             yield from block.within()
 
     def closed() -> Iterator[list[tuple[int, int, int]]]:
@@ -196,16 +213,16 @@ def _met(batches: Iterator[pa.RecordBatch], size: int, cosine: float) -> Iterato
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "stream", "kind")])
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "cell", "block", "stream", "kind")])
         bounds = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
         for a, b in zip(bounds, bounds[1:]):
-            if tuple(keys[:3, a].tolist()) != key:
+            if tuple(keys[:4, a].tolist()) != key:
                 yield from closed()
-                key = tuple(keys[:3, a].tolist())
+                key = tuple(keys[:4, a].tolist())
             part = batch.slice(a, b - a)
             ids, n = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n"))
-            vectors = np.frombuffer(b"".join(part.column("vector").to_pylist()), "<f8").reshape(b - a, size)
-            if keys[3, a] == 0:
+            vectors = np.frombuffer(b"".join(part.column("vector").to_pylist()), "<f8").reshape(b - a, key[0])
+            if keys[4, a] == 0:
                 waiting.append((ids, n, vectors))
                 continue
             if waiting:

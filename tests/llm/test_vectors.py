@@ -51,6 +51,23 @@ def test_range_join(spark, monkeypatch, block, stream, cell):
     assert sorted(map(tuple, linked_vectors(df, 0.95).collect())) == cosine_groups(table)
 
 
+def test_range_join_of_many_lengths(spark, monkeypatch):
+    """Lengths with few vectors or a small share of them have no pivots; none is left out."""
+    monkeypatch.setattr(range_join, "MOST_PIVOTS", 4)
+    monkeypatch.setattr(range_join, "CELL_ROWS", 20)
+    monkeypatch.setattr(range_join, "BLOCK_ROWS", 8)
+    draw = np.random.default_rng(6)
+    lengths = [3] * 90 + [2] * 40 + list(range(4, 34)) * 2
+    table = [(k, [float(x) for x in np.abs(draw.normal(size=n).astype(np.float32)) + 1]) for k, n in enumerate(lengths)]
+    df = spark.createDataFrame([(k, v, 0, 1, 2) for k, v in table], SCHEMA).repartition(3)
+    assert sorted(map(tuple, linked_vectors(df, 0.95).collect())) == cosine_groups(table)
+
+
+def test_range_join_of_rows_repeated_under_one_id(spark):
+    df = spark.createDataFrame([(7, [1.0, 0.0], 0, 0, 0), (7, [1.0, 0.0], 0, 0, 0), (9, [1.0, 0.1], 0, 0, 0), (None, [1.0, 0.0], 0, 0, 0)], SCHEMA)
+    assert sorted(map(tuple, linked_vectors(df, 0.95).collect()), key=str) == sorted([(7, 2, 7, True), (7, 2, 7, True), (9, 2, 7, False), (None, 2, 7, None)], key=str)
+
+
 def test_range_join_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert linked_vectors(empty, 0.95).count() == 0
