@@ -160,7 +160,26 @@ class WordTrieEncoder:
 
     def encode(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Each word with its token ids, in the depth-first order of the words' trie."""
-        tokens, spans, states = [0], [0], [0]  # by prefix length: last token, its length, automaton's state
+        for word, size, tokens, spans in self._walk(words, False):
+            ids = []
+            while size:
+                ids.append(tokens[size])
+                size -= spans[size]
+            ids.reverse()
+            yield word, ids
+
+    def count(self, words: Iterable[str]) -> Iterator[tuple[str, int]]:
+        """Each word with its number of tokens.
+
+        Each transition of the trie says by how much it changes the number of tokens emitted so far: the
+        token that then stands last takes the place of those behind the prefix that it leaves.
+        """
+        for word, size, _, emitted in self._walk(words, True):
+            yield word, emitted[size]
+
+    def _walk(self, words: Iterable[str], counting: bool) -> Iterator[tuple[str, int, list[int], list[int]]]:
+        """Each word with its length and, by prefix length, the last token and its length, or with ``counting`` the tokens emitted."""
+        tokens, spans, states = [0], [0], [0]  # by prefix length: last token, its length or the tokens emitted, automaton's state
         before = ""
         steps, ends, pairs = self.steps.get, self.ends, self.pairs.get
         for word in sorted(words):
@@ -188,21 +207,10 @@ class WordTrieEncoder:
                     if ok:
                         break
                 tokens.append(token)
-                spans.append(n)
+                spans.append(spans[end - n] + 1 if counting else n)
                 states.append(state)
             before = s
-            ids = []
-            while size:
-                ids.append(tokens[size])
-                size -= spans[size]
-            ids.reverse()
-            yield word, ids
-
-
-@functools.cache
-def encoder(path: str) -> WordTrieEncoder:
-    """One encoder for each file and Python worker."""
-    return WordTrieEncoder(path)
+            yield word, size, tokens, spans
 
 
 def character_ranges(pattern: str) -> tuple[tuple[int, int], ...]:

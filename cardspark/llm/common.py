@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -30,13 +33,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder; lineage ends there.
 
     The folder is the one the session names in ``spark.checkpoint.dir``.  Only where none is
-    named (a local test session) is a folder of our own set.  The shuffle files of the job that
-    wrote it are removed at once: nothing reads them again.
+    named, in a local session, is a folder of our own set: on a cluster the machines would not share
+    it.  The shuffle files of the job that wrote it are removed at once: nothing reads them again.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -45,14 +51,49 @@ def checkpointed(df: DataFrame) -> DataFrame:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns beside those of ``df``: led by two underscores, and more where one is taken."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while (name := f"__{name}").lower() in taken:
+            pass
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each slice holds about ``limit`` bytes of ``column`` (one row at least)."""
+_held: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], object]) -> object:
+    """The one large object, such as a tokenizer, that a Python worker keeps from task to task; that of another key takes its place."""
+    if key not in _held:
+        tidy()
+        _held[key] = make()
+    return _held[key]
+
+
+def tidy(keep: Hashable = None) -> None:
+    """Gives back what earlier tasks of this worker left behind, but for the object held under ``keep``."""
+    if _held and keep not in _held:
+        _held.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # C libraries without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20, keep: Hashable = None) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each slice holds about ``limit`` bytes of ``column`` (one row at least).
+
+    ``keep`` is the key of the object held that the task uses.
+    """
     import numpy as np
 
+    tidy(keep)
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardspark.llm.common import checkpointed, shuffle_partitions, slices
+from cardspark.llm.common import checkpointed, shuffle_partitions, slices, tidy
 from cardspark.llm.components import components
 from cardspark.llm.shingles import WORDS, set_hash, shingle_sets
 
@@ -363,6 +363,7 @@ def _bundles(shown: DataFrame, percent: int, most: int | None, parts: int, late:
             yield rows(np.repeat(np.minimum.reduceat(key, starts), count)[kept], key[kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         waiting: list[tuple[np.ndarray, ...]] = []
         held, open_token, pivot, at = 0, None, None, 0
         for batch in chain(batches, (None,)):
@@ -411,6 +412,7 @@ def _bundles(shown: DataFrame, percent: int, most: int | None, parts: int, late:
 
 def _units(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Runs of rows with equal keys, from sorted batches."""
+    tidy()
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:

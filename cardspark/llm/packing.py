@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cardspark.llm import bpe
 from cardspark.llm.common import checkpointed, slices
-from cardspark.llm.word_tokens import MEMO_WORDS, SLICE_BYTES, tokenizer
+from cardspark.llm.word_tokens import MEMO_WORDS, SLICE_BYTES, tokenizer, tokenizer_key
 
 
 class CapacityTree:
@@ -107,7 +107,7 @@ def pieces(df: DataFrame, tokenizer_file: str, end_id: int, window: int, text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, task, ranks = tokenizer(tokenizer_file, ranges, decoding=False), TaskContext.get().partitionId(), Counter()
         tok.memo_words, tok.encoder.most_steps = memo_words, 2 * memo_words
-        for batch in slices(batches, "__text", slice_bytes):
+        for batch in slices(batches, "__text", slice_bytes, tokenizer_key(tokenizer_file, decoding=False)):
             rows, out = [], []
             for k, entries in enumerate(tok.entries(batch.column("__text").to_pylist())):
                 raw = b"".join(entries) + end

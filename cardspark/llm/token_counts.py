@@ -5,14 +5,13 @@ emits where pre-tokens start; its answers for contractions and white space come
 characters late, as the pattern's look-ahead asks.  A batch's characters are cut into chunks, the
 map from entry state to exit state of every chunk is worked out for all chunks at once, the maps
 are composed by a parallel prefix scan, and a second pass from the then known entry states emits.
-The second transducer is the trie of pre-tokens: its states are prefixes, and each transition
-carries the change in the number of emitted tokens (see :mod:`cardspark.llm.bpe`); the counts at
-final states are kept between batches.  Spark deals out the texts; nothing is shuffled.
+The second transducer is the trie of pre-tokens: its states are prefixes, each transition changes the
+number of tokens emitted so far, and the number at a final state is the pre-token's (see
+:meth:`cardspark.llm.bpe.WordTrieEncoder.count`); those of final states are kept between batches.  Spark deals out the texts; nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardspark.llm import bpe
-from cardspark.llm.common import slices
+from cardspark.llm.common import held, slices
 
 #: Character classes: other letters, s t m d, r v, e, l, numbers, space, other white space, apostrophe, the rest, separator.
 LETTER, STMD, RV, E, L, NUMBER, SPACE, WHITE, APOSTROPHE, OTHER, SEPARATOR = CLASSES = range(11)
@@ -105,7 +104,7 @@ class Counter:
     """Counts of whole texts."""
 
     def __init__(self, path: str, ranges: dict):
-        self.encoder = bpe.encoder(path)
+        self.encoder = bpe.WordTrieEncoder(path)
         self.special = re.compile("|".join(map(re.escape, self.encoder.special)))
         kinds = self.kinds = np.full(0x110000, OTHER, dtype=np.uint8)
         for name, kind in (("letter", LETTER), ("number", NUMBER), ("space", WHITE)):
@@ -135,7 +134,7 @@ class Counter:
         get = self.memo.get
         found = list(map(get, words))
         if None in found:
-            learnt = {w: len(ids) for w, ids in self.encoder.encode({w for w, c in zip(words, found) if c is None})}
+            learnt = dict(self.encoder.count({w for w, c in zip(words, found) if c is None}))
             found = [learnt[w] if c is None else c for w, c in zip(words, found)]
             if len(self.memo) > MEMO_WORDS:
                 self.memo.clear()
@@ -147,11 +146,6 @@ class Counter:
         return total
 
 
-@functools.cache
-def _counter(path: str, ranges: tuple) -> Counter:
-    return Counter(path, dict(ranges))
-
-
 def token_counts(df: DataFrame, tokenizer_file: str, text: str = "text", keep: tuple[str, ...] = (), limit: int = 1024) -> DataFrame:
     """Counts the byte-level BPE tokens of each text.
 
@@ -164,8 +158,9 @@ def token_counts(df: DataFrame, tokenizer_file: str, text: str = "text", keep: t
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["n_bytes long", "n_tokens long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(tokenizer_file, ranges)
-        for batch in slices(batches, "__text"):
+        key = ("counter", tokenizer_file)
+        counter = held(key, lambda: Counter(tokenizer_file, dict(ranges)))
+        for batch in slices(batches, "__text", keep=key):
             texts = batch.column("__text")
             size = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), size, pa.array(counter.counts(texts.to_pylist()))], names=[*keep, "n_bytes", "n_tokens"])

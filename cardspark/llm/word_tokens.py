@@ -7,7 +7,6 @@ texts are put together from their words' ids.  Spark deals out the texts; nothin
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 import unicodedata
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cardspark.llm import bpe
-from cardspark.llm.common import slices
+from cardspark.llm.common import held, slices
 
 #: Words kept between batches, half as many with their decoded text; words longer than this many characters are not kept.
 MEMO_WORDS, MEMO_CHARACTERS = 1_200_000, 64
@@ -37,7 +36,7 @@ class WordTokenizer:
     def __init__(self, path: str, ranges: dict, decoding: bool):
         from tokenizers import Tokenizer
 
-        self.encoder = bpe.encoder(path)
+        self.encoder = bpe.WordTrieEncoder(path)
         self.decoding = decoding
         self.normalizer = Tokenizer.from_file(path).normalizer
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.encoder.special, key=len, reverse=True))) + ")")
@@ -105,14 +104,13 @@ class WordTokenizer:
         return found
 
 
-@functools.cache
-def _tokenizer(path: str, ranges: tuple, decoding: bool) -> WordTokenizer:
-    return WordTokenizer(path, dict(ranges), decoding)
+def tokenizer_key(path: str, decoding: bool = True) -> tuple:
+    return "words", path, decoding
 
 
 def tokenizer(path: str, ranges: dict, decoding: bool = True) -> WordTokenizer:
-    """One tokenizer for each file and Python worker."""
-    return _tokenizer(path, tuple(ranges.items()), decoding)
+    """The tokenizer that a Python worker holds."""
+    return held(tokenizer_key(path, decoding), lambda: WordTokenizer(path, ranges, decoding))
 
 
 def encode_decode(df: DataFrame, tokenizer_file: str, text: str = "text", keep: tuple[str, ...] = (), ids: bool = True) -> DataFrame:
@@ -129,7 +127,7 @@ def encode_decode(df: DataFrame, tokenizer_file: str, text: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_file, ranges)
-        for batch in slices(batches, "__text", SLICE_BYTES):
+        for batch in slices(batches, "__text", SLICE_BYTES, tokenizer_key(tokenizer_file)):
             n, packed, sha, back, decoded_text = [], [], [], [], []
             for entries in tok.entries(batch.column("__text").to_pylist()):
                 raw = b"".join([e[0] for e in entries])
