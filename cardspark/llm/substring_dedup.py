@@ -11,6 +11,7 @@ Only digests that occur more than once travel back to the documents.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from itertools import accumulate, chain
@@ -21,30 +22,169 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardspark.llm.common import checkpointed, shuffle_partitions, slices
+from cardspark.llm.common import checkpointed, shuffle_partitions, slices, unused_names
+from cardspark.llm.shingles import mixed
 
 #: Words a run of repeated units must have to be removed, and those a unit must have for a run to rest on it, or a whole
 #: line to be removed whatever stands around it.
 RUN_WORDS, STRONG_WORDS = 25, 6
-#: A unit ends at a line end, or after white space that follows a sentence's end or leads to a capital letter after a small one.
-_CUT = re.compile(r"\n+|(?<=[.!?])[^\S\n]+|(?<=[^\W\d_A-ZÀ-ÖØ-Þ])[^\S\n]+(?=[A-ZÀ-ÖØ-Þ][^\W\d_A-ZÀ-ÖØ-Þ])")
-_WORD = re.compile(r"\w+")
+#: Kinds of characters: part of a word, white space within a line, line end, end of a sentence, capital and small letter.
+WORD, BLANK, NEWLINE, STOP, UPPER, SMALL = 1, 2, 4, 8, 16, 32
+#: Bytes of texts worked out at once.
+SLICE_BYTES = 1 << 19
+#: Odd multipliers of the two hashes of characters, words and units.
+STEPS = tuple(np.array([a, b, c], dtype=np.uint64) for a, b, c in ((0x9E3779B97F4A7C15, 0xD1B54A32D192ED05, 0xA0761D6478BD642F), (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)))
 
 
-def units(text: str) -> Iterator[tuple[int, int, str, int]]:
-    """Start, end, normalised form and number of words of each unit that has a word."""
-    start = 0
-    for cut in [*_CUT.finditer(text), None]:
-        end = cut.start() if cut else len(text)
-        if end > start:
-            words = _WORD.findall(text[start:end].lower())
-            if words:
-                yield start, end, " ".join(words), len(words)
-        start = cut.end() if cut else end
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: its kinds, and the value that stands for it whatever its case."""
+    kinds, low = np.zeros(0x110000, dtype=np.uint8), np.arange(0x110000, dtype=np.uint64)
+    classes = ((WORD, r"\w"), (BLANK, r"[^\S\n]"), (NEWLINE, r"\n"), (STOP, r"[.!?]"), (UPPER, "[A-ZÀ-ÖØ-Þ]"), (SMALL, r"[^\W\d_A-ZÀ-ÖØ-Þ]"))
+    patterns = [(kind, re.compile(f"{p}+")) for kind, p in classes]
+    for start in range(0, 0x110000, 1 << 12):
+        codes = [c for c in range(start, start + (1 << 12)) if not 0xD800 <= c < 0xE000]
+        block = "".join(map(chr, codes))
+        for kind, pattern in patterns if block else ():
+            for m in pattern.finditer(block):
+                kinds[codes[m.start()] : codes[m.end() - 1] + 1] |= kind
+        if block.lower() != block:
+            for c in codes:
+                small = chr(c).lower()
+                low[c] = ord(small) if len(small) == 1 else c
+    return kinds, mixed(low + np.uint64(1))
+
+
+def _powers(step: np.uint64, n: int) -> np.ndarray:
+    out = np.full(max(1, n), step, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _places(starts: np.ndarray, n: int) -> np.ndarray:
+    """Place of each of ``n`` rows in its group, from the groups' first rows."""
+    return np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values."""
+    edge = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
+    return edge[0::2], edge[1::2]
+
+
+class Units:
+    """The units of some texts that have a word, one text after another, as arrays.
+
+    ``text``: number of the text; ``start`` and ``end``: characters of the text; ``words``: number of
+    words; ``hashes``: two 64-bit hashes of the words' sequence; ``ends_line``: whether a line ends
+    after the unit; ``bounds``: where each text's units begin, and the end.
+    """
+
+    def __init__(self, texts: list[str]):
+        kinds_of, value_of = _tables()
+        codes = np.frombuffer("\n".join([*texts, "", ""]).encode("utf-32-le"), dtype=np.uint32)
+        kind = kinds_of[codes]
+        # White space is a border after a sentence's end, or where it leads from a small letter to a capital with a small one behind.
+        starts, ends = _runs((kind & BLANK) > 0)
+        before = np.where(starts > 0, kind[starts - 1], NEWLINE)
+        border = (before & STOP > 0) | (before & SMALL > 0) & (kind[ends] & UPPER > 0) & (kind[np.minimum(ends + 1, len(kind) - 1)] & SMALL > 0)
+        change = np.zeros(len(kind) + 1, dtype=np.int8)
+        change[starts[border]] = 1
+        change[ends[border]] -= 1
+        lines = (kind & NEWLINE) > 0
+        start, end = _runs(~lines & (np.cumsum(change[:-1], dtype=np.int8) == 0))
+        inside = (kind & WORD) > 0
+        word_start, word_end = _runs(inside)
+        of = np.searchsorted(start, word_start, side="right") - 1  # no word goes over a border
+        count = np.bincount(of, minlength=len(start))
+        kept = count > 0
+        self.words = count[kept].astype(np.int64)
+        first_words = np.cumsum(self.words) - self.words
+        values = value_of[codes[inside]]
+        sizes = word_end - word_start
+        first_letters = np.cumsum(sizes) - sizes
+        place, word_place = _places(first_letters, len(values)), _places(first_words, len(word_start))
+        self.hashes = []
+        for step in STEPS:
+            if not len(sizes):
+                self.hashes.append(np.zeros(0, np.uint64))
+                continue
+            word = mixed(np.add.reduceat(values * _powers(step[0], int(sizes.max()))[place], first_letters) + sizes.astype(np.uint64))
+            unit = np.add.reduceat(word * _powers(step[1], int(self.words.max()))[word_place], first_words)
+            self.hashes.append(mixed(unit + self.words.astype(np.uint64)))
+        start, end = start[kept], end[kept]
+        text_start = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.text = np.searchsorted(text_start, start, side="right") - 1
+        passed = np.cumsum(lines)
+        self.ends_line = passed[np.append(start[1:], len(passed) - 1)] > passed[np.maximum(end, 1) - 1] if len(start) else np.zeros(0, bool)
+        self.start, self.end = start - text_start[self.text], end - text_start[self.text]
+        self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))
+
+    def joint_hashes(self, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        """Hashes of the sequences of units from ``first`` to ``last``."""
+        out = []
+        for unit, step in zip(self.hashes, STEPS):
+            total = np.append(np.uint64(0), np.cumsum(unit * _powers(step[2], len(unit)), dtype=np.uint64))
+            back = _powers(np.uint64(pow(int(step[2]), -1, 1 << 64)), len(unit))
+            out.append(mixed((total[last + 1] - total[first]) * back[first] + (last - first + 2).astype(np.uint64) * step[0]))
+        return out
+
+    def stretches(self, run_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last unit of the shortest stretches of ``run_words`` words from each unit on and up to each unit."""
+        n, total = len(self.words), np.append(0, np.cumsum(self.words))
+        own = np.arange(n)
+        on = np.searchsorted(total, total[:-1] + run_words) - 1
+        fits = on < self.bounds[self.text + 1]
+        upto = np.searchsorted(total, total[1:] - run_words, side="right") - 1
+        reaches = (upto >= self.bounds[self.text]) & (total[1:] >= run_words)
+        pairs = np.unique(np.concatenate((own[fits] * (n + 1) + on[fits], upto[reaches] * (n + 1) + own[reaches])))
+        return pairs // (n + 1), pairs % (n + 1)
+
+    def joint(self, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which units are whole lines of some words, and (first, last) of longer lines and of stretches to be hashed as one.
+
+        Stretches are those that no run can rest on; at least half of their units must differ from each other.
+        """
+        n = len(self.words)
+        alone = np.zeros(n, dtype=bool)
+        if not n:
+            return alone, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        total = np.append(0, np.cumsum(self.words))
+        strong = np.append(0, np.cumsum(np.where(self.words >= STRONG_WORDS, self.words, 0)))
+        last = np.flatnonzero(self.ends_line)
+        first = np.append(0, last[:-1] + 1)
+        wide = total[last + 1] - total[first] >= STRONG_WORDS
+        alone[last[wide & (first == last)]] = True
+        line = wide & (first < last)
+        a, b = self.stretches(run_words)
+        weak = 2 * (strong[b + 1] - strong[a]) < total[b + 1] - total[a]
+        a, b = a[weak], b[weak]
+        order = np.lexsort((np.arange(n), self.hashes[0], self.text))
+        again = (self.text[order[1:]] == self.text[order[:-1]]) & (self.hashes[0][order[1:]] == self.hashes[0][order[:-1]])
+        earlier = np.full(n, -1)
+        earlier[order[1:][again]] = order[:-1][again]
+        kinds = np.zeros(len(a), dtype=np.int64)
+        for k in range(int((b - a).max()) + 1 if len(a) else 0):  # a stretch has at most as many units as words
+            at = np.minimum(a + k, b)
+            kinds += (a + k <= b) & (earlier[at] < a)
+        fine = 2 * kinds > b - a
+        pairs = np.unique(np.concatenate((first[line] * (n + 1) + last[line], a[fine] * (n + 1) + b[fine])))
+        return alone, pairs // (n + 1), pairs % (n + 1)
+
+    def rows(self, run_words: int) -> list[np.ndarray]:
+        """Columns of what is hashed: text, both hashes, first unit, last unit if it goes as one (else -1), start, end and words."""
+        alone, first, last = self.joint(run_words)
+        n, k = len(self.words), len(first)
+        seq = np.arange(n) - self.bounds[self.text]
+        none = np.zeros(k, dtype=np.int64)  # lines and stretches only say which units go
+        both = [np.concatenate(x) for x in zip(self.hashes, self.joint_hashes(first, last))]
+        columns = ((self.text, self.text[first]), (seq, seq[first]), (np.where(alone, seq, -1), seq[last]), (self.start, none), (self.end, none), (self.words, none))
+        text, *rest = (np.concatenate(x) for x in columns)
+        return [text, *both, *rest]
 
 
 def stretches(words: list[int], run_words: int) -> Iterator[tuple[int, int]]:
-    """First and last unit of the shortest stretches of ``run_words`` words from each unit on and up to each unit."""
+    """As in :class:`Units`, for one run of neighbouring units."""
     total = start = 0
     fresh = 0  # units before this one have had their stretch
     for last, n in enumerate(words):
@@ -63,26 +203,6 @@ def sums(words: list[int]) -> tuple[list[int], list[int]]:
     return [0, *accumulate(words)], [0, *accumulate([n if n >= STRONG_WORDS else 0 for n in words])]
 
 
-def joint(text: str, own: list[tuple[int, int, str, int]], run_words: int) -> tuple[set[int], set[tuple[int, int]]]:
-    """Units that are whole lines of some words, and (first, last) of longer lines and of stretches to be hashed as one.
-
-    Stretches are those that no run can rest on; at least half of their units must differ from each other.
-    """
-    alone, longer = set(), set()
-    words = [u[3] for u in own]
-    total, strong = sums(words)
-    first = 0
-    for k in range(len(own)):
-        if k + 1 == len(own) or "\n" in text[own[k][1] : own[k + 1][0]]:
-            if total[k + 1] - total[first] >= STRONG_WORDS:
-                alone.add(k) if k == first else longer.add((first, k))
-            first = k + 1
-    for a, b in stretches(words, run_words) if total[-1] >= run_words else ():
-        if 2 * (strong[b + 1] - strong[a]) < total[b + 1] - total[a] and 2 * len({u[2] for u in own[a : b + 1]}) > b - a:
-            longer.add((a, b))
-    return alone, longer
-
-
 def chosen(rows: list[tuple], run_words: int) -> Iterator[tuple[int, int, int, object]]:
     """Start, end, words and smallest first id of a document's spans, from its repeated rows (seq, last, start, end, words, first id)."""
     reach: dict[int, int] = {}
@@ -132,28 +252,10 @@ def repeated_spans(df: DataFrame, text: str = "text", id_column: str = "doc_id",
     kind = df.schema[id_column].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest = xxhash.xxh3_128_digest
-        for batch in slices(batches, "t", 1 << 20):
-            row, high, low, seq, last, start, end, words = [], [], [], [], [], [], [], []
-            for k, t in enumerate(batch.column("t").to_pylist()):
-                own = list(units(t))
-                alone, longer = joint(t, own, run_words)
-                single = ((n, n if n in alone else -1, *u) for n, u in enumerate(own))
-                # No words: lines and stretches say only which units go.
-                for n, to, a, b, form, count in chain(single, ((i, j, 0, 0, "\n".join([u[2] for u in own[i : j + 1]]), 0) for i, j in longer)):
-                    raw = digest(form)
-                    row.append(k)
-                    high.append(int.from_bytes(raw[:8], "big", signed=True))
-                    low.append(int.from_bytes(raw[8:], "big", signed=True))
-                    seq.append(n)
-                    last.append(to)
-                    start.append(a)
-                    end.append(b)
-                    words.append(count)
-            kept = batch.select(["id", "text_hash"]).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(high, pa.int64()), pa.array(low, pa.int64()), *(pa.array(x, pa.int32()) for x in (seq, last, start, end, words))], names=["id", "text_hash", "high", "low", "seq", "last", "start", "end", "words"])
+        for batch in slices(batches, "t", SLICE_BYTES):
+            row, high, low, *rest = Units(batch.column("t").to_pylist()).rows(run_words)
+            kept = batch.select(["id", "text_hash"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in rest)], names=["id", "text_hash", "high", "low", "seq", "last", "start", "end", "words"])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -217,19 +319,24 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return " ".join([part for part in out if part]) if spans else text
 
 
-def remove_repeated(df: DataFrame, text: str = "text", id_column: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
-    """``df`` with repeated passages cut out of ``text``, and the spans removed in ``__spans``.
+def remove_repeated(df: DataFrame, text: str = "text", id_column: str = "doc_id", run_words: int = RUN_WORDS, spans_column: str = "__spans") -> DataFrame:
+    """``df`` with repeated passages cut out of ``text``, and the spans removed in ``spans_column``.
 
-    All rows and columns stay; spans are (start, end) in the text as it was, and null where nothing
-    was removed.  See :func:`repeated_spans` for what is removed.
+    All rows and columns stay, whatever their names, but for a column named like ``spans_column``, which
+    is replaced; spans are (start, end) in the text as it was, and null where nothing was removed.
+    Null and empty texts stay as they are; rows repeated under one id lose the same spans; a null id is
+    a document that ranks last.  An empty table gives an empty result.  See :func:`repeated_spans`
+    for what is removed.
     """
     spans = repeated_spans(df, text, id_column, run_words)
-    lists = spans.groupBy(F.col(id_column).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))  # a document's own spans
-    joined = df.join(lists, df[id_column].eqNullSafe(F.col("__id")) & (F.xxhash64(df[text]) == F.col("__hash")), "left").drop("__id", "__hash")
+    key, digest = unused_names(df, "id", "digest")
+    df = df.drop(spans_column)
+    lists = spans.groupBy(F.col(id_column).alias(key), F.col("text_hash").alias(digest)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(spans_column))  # a document's own spans
+    joined = df.join(lists, F.col(id_column).eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(digest)), "left").drop(key, digest)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t if not s else without_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(batch.column(text).to_pylist(), batch.column("__spans").to_pylist())]
+        for batch in slices(batches, text):
+            texts = [t if not s else without_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(batch.column(text).to_pylist(), batch.column(spans_column).to_pylist())]
             yield batch.set_column(batch.schema.get_field_index(text), batch.schema.field(text), pa.array(texts, batch.schema.field(text).type))
 
     return joined.mapInArrow(cut, joined.schema)

@@ -17,6 +17,36 @@ def word_sets(texts):
     return out
 
 
+def units(text):
+    """Start, end, words in small letters and their number, of each unit of a text, read character by character."""
+    small, found, start, k = lambda c: len(c.lower()) == 1 and c.lower() or c, [], 0, 0
+    letter = lambda c: c != "" and re.fullmatch(r"[^\W\d_]", c) is not None
+    capital = lambda c: c != "" and ("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×")
+
+    def close(end):
+        words = re.findall(r"\w+", text[start:end])
+        if words:
+            found.append((start, end, " ".join("".join(map(small, w)) for w in words), len(words)))
+
+    while k < len(text):
+        stop = k
+        while stop < len(text) and text[stop] != "\n" and text[stop].isspace():
+            stop += 1
+        if text[k] == "\n":
+            close(k)
+            k = start = k + 1
+        elif stop > k:
+            before, after, then = text[k - 1 : k], text[stop : stop + 1], text[stop + 1 : stop + 2]
+            if before in (".", "!", "?") or letter(before) and not capital(before) and capital(after) and letter(then) and not capital(then):
+                close(k)
+                start = stop
+            k = stop
+        else:
+            k += 1
+    close(len(text))
+    return found
+
+
 def components(n, links):
     up = list(range(n))
 

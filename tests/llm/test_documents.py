@@ -8,7 +8,7 @@ import corpus_pipeline
 from cardspark.llm import language_id, ngram_join, queries, substring_dedup, toxicity
 from cardspark.llm.ngram_join import SignatureTree, bitmap, similar_documents
 from cardspark.llm.shingles import shingle_sets
-from cardspark.llm.substring_dedup import remove_repeated, repeated_spans, units, without_spans
+from cardspark.llm.substring_dedup import Units, remove_repeated, repeated_spans, without_spans
 from cardspark.llm.url_filter import filter_urls, host_and_path
 from tests.llm import helpers
 
@@ -109,7 +109,7 @@ def test_tree_loses_no_pair():
 
 def brute_spans(rows, run_words=substring_dedup.RUN_WORDS):
     """Repeated spans by plain loops over all units in rank order."""
-    cut = {k: list(units(t)) for k, t in rows if t}
+    cut = {k: helpers.units(t) for k, t in rows if t}
     first = {}
     for k in sorted(cut):
         for n, (_, _, form, _) in enumerate(cut[k]):
@@ -183,6 +183,120 @@ def test_short_units_that_only_repeat_one_by_one_stay(spark):
     assert repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
 
 
+def test_units_are_cut_and_hashed_as_by_hand():
+    draw = random.Random(41)
+    pieces = [" ", "  ", "\n", "\r\n", ". ", "! ", "?", "Ab", "cd", "É", "éa", "Σίγμα", "x_1", "9", "İ", "—", "Hello there", "Übung", "ŽLUTÝ"]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randrange(0, 60))) for _ in range(300)] + ["a", "\n", " ", "A b. " * 300, "x" * 3000]
+    forms, hashes = {}, {}
+    own = Units(texts)
+    for k, text in enumerate(texts):
+        at = slice(own.bounds[k], own.bounds[k + 1])
+        expected = helpers.units(text)
+        assert list(zip(own.start[at].tolist(), own.end[at].tolist(), own.words[at].tolist())) == [(a, b, n) for a, b, _, n in expected]
+        for (*_, form, _), pair in zip(expected, zip(*(h[at].tolist() for h in own.hashes))):
+            assert forms.setdefault(form, pair) == pair and hashes.setdefault(pair, form) == form
+
+
+def test_stretches_of_all_texts_at_once_are_those_of_each():
+    draw = random.Random(42)
+    texts = [". ".join(" ".join("w" * draw.randrange(1, 4) for _ in range(draw.randrange(1, 9))) for _ in range(draw.randrange(0, 30))) for _ in range(80)]
+    own = Units(texts)
+    first, last = own.stretches(25)
+    found = set(zip(first.tolist(), last.tolist()))
+    expected = {(a + own.bounds[k], b + own.bounds[k]) for k in range(len(texts)) for a, b in substring_dedup.stretches(own.words[own.bounds[k] : own.bounds[k + 1]].tolist(), 25)}
+    assert found == expected and expected
+
+
+def test_columns_with_clashing_names(spark):
+    """All columns and rows come through the stages' operators, whatever the columns' names; null ids and repeated rows as well."""
+    names = ["id", "t", "h", "l", "y", "key", "score", "rejected", "terms", "start", "end", "text_hash", "first_doc_id", "__id", "__hash", "__digest", "__spans", "n_tokens", "component_id"]
+    passage = " ".join(words(random.Random(8), 60)).capitalize() + "."
+    rows = [(1, passage), (2, passage + "\nmore"), (2, passage + "\nmore"), (None, passage + "\nlast"), (3, None), (4, ""), (5, "x " * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit(f"own {c}").alias(c) for c in names))
+    cut = remove_repeated(df, spans_column="___spans").drop("___spans")
+    assert cut.columns == df.columns
+    assert sorted([(r.doc_id, r.text) for r in cut.collect()], key=str) == sorted([(1, passage), (2, "more"), (2, "more"), (None, "last"), (3, None), (4, ""), (5, "x " * 30_000)], key=str)
+    assert {r["__id"] for r in cut.collect()} == {"own __id"}
+    assert remove_repeated(df.drop("__spans")).columns == [c for c in df.columns if c != "__spans"] + ["__spans"]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(df, labels)
+    assert toxicity.accepted(df, lexicon).columns == df.columns
+    scored = toxicity.score_toxicity(df, lexicon, keep=("doc_id",)).collect()
+    assert len(scored) == len(rows) and len({r.score for r in scored if r.doc_id == 2}) == 1
+    model = language_id.fit(df.withColumn("lang", F.lit("en")), "text", "lang")
+    assert language_id.accepted(df, model).columns == df.columns
+    judged = language_id.identify(df, model, keep=("doc_id",)).collect()
+    assert len(judged) == len(rows) and {r.lang_pred for r in judged if r.doc_id in (3, 4)} == {"und"}
+    assert similar_documents(df).count() == len(rows)
+
+
+def test_ties_between_languages_go_to_the_first_name(spark):
+    df = spark.createDataFrame([(1, "abc abd", "x"), (2, "abc abd", "w"), (3, "abc abd abc", None)] * 8, "doc_id long, text string, lang string")
+    model = language_id.fit(df, "text", "lang")
+    if model:
+        assert {r.lang_pred for r in language_id.identify(df, model).collect()} == {min(model.languages)}
+
+
+def test_language_models_are_interpolated_kneser_ney():
+    draw = random.Random(17)
+    order, discount = language_id.ORDER, language_id.DISCOUNT
+    corpora = {"a": "abracadabra arcade", "b": "banana bandana cab"}
+    grams = {name: {} for name in corpora}
+    for name, text in corpora.items():
+        padded = " " * order + text + " "
+        for k in range(len(padded) - order + 1):
+            g = padded[k : k + order]
+            grams[name][g] = grams[name].get(g, 0) + 1
+    import numpy as np
+
+    names = sorted(corpora)
+    counts = {}
+    for k, name in enumerate(names):
+        for g, c in grams[name].items():
+            counts.setdefault(tuple(map(ord, g)), np.zeros(len(names)))[k] = c
+    model = language_id.Model(names, {order: counts})
+    symbols = len({g[-1] for own in grams.values() for g in own}) + 1
+
+    def tables(own):
+        found = {order: own}
+        for n in range(order - 1, 0, -1):  # how many different characters stand before
+            found[n] = {}
+            for g in found[n + 1]:
+                found[n][g[1:]] = found[n].get(g[1:], 0) + 1
+        return found
+
+    def p(found, n, history, c):
+        if not n:
+            return 1 / symbols
+        lower = p(found, n - 1, history[1:], c)
+        after = {g[-1]: k for g, k in found[n].items() if g[:-1] == history}
+        total = sum(after.values())
+        return lower if not total else max(after.get(c, 0) - discount, 0) / total + discount * len(after) / total * lower
+
+    text = " " + "".join(draw.choice("abcdnr e") for _ in range(60)) + " "
+    logs = model.logs(np.array(list(map(ord, text)), dtype=np.uint64))
+    for k, name in enumerate(names):
+        found, padded = tables(grams[name]), " " * (order - 1) + text
+        expected = [p(found, order, padded[i : i + order - 1], padded[i + order - 1]) for i in range(1, len(text))]
+        assert np.allclose(np.exp(logs[:, k]), expected, rtol=1e-4)
+
+
+def test_lexicon_hits_are_those_of_a_plain_scan():
+    draw = random.Random(18)
+    weights = {" bad ": 2.0, " badl": 3.0, " ug": 1.0, " ugly ": 4.0, " x ": 1.5}
+    lexicon = toxicity.Lexicon(weights, ("not bad", "ugly duck"))
+    for _ in range(200):
+        text = toxicity.folded(" ".join(draw.choice(["bad", "badly", "ugly", "not", "duck", "x", "fine", "ug"]) for _ in range(draw.randrange(0, 12))))
+        places = lambda term: [k for k in range(len(text)) if text.startswith(term, k)]
+        excused = [(k, k + len(f" {p} ")) for p in lexicon.exceptions for k in places(f" {p} ")]
+        best = {}
+        for term, weight in weights.items():
+            for k in places(term):
+                if not any(a <= k and k + len(term) <= b for a, b in excused):
+                    best[k] = max(best.get(k, 0.0), weight)
+        assert lexicon.hits(text)[0] == sum(best.values())
+
+
 def test_rows_repeated_under_one_id_are_one_document(spark):
     text = " ".join(words(random.Random(1), 40)).capitalize() + "."
     df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
@@ -293,5 +407,9 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept["near_duplicates"]) == {k for k, _, least in groups if k == least}
     assert passage in kept["substring_dedup"][10].text and passage not in kept["substring_dedup"][20].text
     assert kept["substring_dedup"][20].n_chars == len(kept["substring_dedup"][20].text)
+    empty = tmp_path / "empty"
+    for name in ("documents", "labels"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(empty / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(kept["substring_dedup"]) and all(r.offset + r.length <= 4096 for r in packed)
