@@ -1,7 +1,11 @@
 """A corpus from raw documents to packed training sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of ``documents``.
+of ``documents``, whatever other columns there are.  Texts that are null or empty have no language and
+go with the first stage.  Rows with a null id are documents of their own: they are never near copies
+of others, and rank last where passages repeat.  Rows repeated under one id stay or go together, and
+of equal documents the one with the smallest id stays.  An empty table gives an empty result at every stage.
+This module is part of ``cardspark.llm`` and can't be imported without it.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardspark.llm import language_id, toxicity
-from cardspark.llm.common import checkpointed, table, tokenizer_path
+from cardspark.llm.common import checkpointed, table, tokenizer_path, unused_names
 from cardspark.llm.ngram_join import similar_documents
 from cardspark.llm.packing import pack
 from cardspark.llm.substring_dedup import remove_repeated
@@ -35,8 +39,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that stand in an earlier document out of the later ones."""
-    cut = remove_repeated(docs)
-    size = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    (spans,) = unused_names(docs, "spans")
+    cut = remove_repeated(docs, spans_column=spans)
+    size = F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return cut.withColumn("n_chars", size).select(docs.columns)
 
 
