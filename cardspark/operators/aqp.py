@@ -35,3 +35,16 @@ def estimates(sample: DataFrame, rate: float, features: Column, groups: list[str
 def what_if(condition: Column, percent: float) -> Column:
     """Weight of a row when the rows that meet a condition become more (or, below 0, fewer) by some percent."""
     return F.when(condition, F.lit(1.0 + percent / 100.0)).otherwise(F.lit(1.0))
+
+
+def combined(sample: DataFrame, rate: float, terms: list[tuple[str, Column]], groups: list[str] = (), kind: str = "sum") -> DataFrame:
+    """Sums (or with ``kind`` "avg" averages) of several features, added and subtracted; each ignores its own nulls only.
+
+    ``terms`` are ("+" or "-", feature).  Terms are taken as independent for the deviation.
+    """
+    out = None
+    for k, (_, feature) in enumerate(terms):
+        one = estimates(sample, rate, feature, groups).select(*groups, F.col(f"{kind}_est").alias(f"__e{k}"), F.col(f"{kind}_sd").alias(f"__s{k}"))
+        out = one if out is None else (out.join(one, list(groups)) if groups else out.join(F.broadcast(one)))  # one row without groups
+    total = sum((F.col(f"__e{k}") if sign == "+" else -F.col(f"__e{k}") for k, (sign, _) in enumerate(terms)), F.lit(0.0))
+    return out.select(*groups, total.alias(f"{kind}_est"), F.sqrt(sum((F.pow(f"__s{k}", F.lit(2)) for k in range(len(terms))), F.lit(0.0))).alias(f"{kind}_sd"))

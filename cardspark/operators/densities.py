@@ -25,6 +25,19 @@ def parameters(df: DataFrame, column: str, groups: list[str] = ()) -> DataFrame:
     )
 
 
+def multivariate(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: means and maximum-likelihood covariances (row by row) of a multivariate Gaussian over rows without nulls."""
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).na.drop()
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(c) for c in columns)).alias("mean"), F.array(*(F.array(*(F.covar_pop(a, b) for b in columns)) for a in columns)).alias("covariance"))
+
+
+def categorical(df: DataFrame, column: str, alpha: float = 0.0) -> DataFrame:
+    """(value, p) of a column's values, each with ``alpha`` rows more; nulls are left out."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg((F.count(F.lit(1)) + alpha).alias("n"))
+    total = counts.agg(F.sum("n").alias("__total"))  # one row
+    return counts.join(F.broadcast(total)).select("value", (F.col("n") / F.col("__total")).alias("p"))
+
+
 def gaussian_density(x: Column, mean: Column, deviation: Column) -> Column:
     z = (x - mean) / deviation
     return F.exp(-z * z / 2) / (deviation * 2.5066282746310002)

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardspark.session import written
 
-def ancestors(edges: DataFrame, levels: int = 64) -> DataFrame:
-    """(node, ancestor) of an acyclic graph with edges (parent, child).
 
-    The closure is squared in each round, so the number of rounds grows with the logarithm of
-    the longest path; a model's graph has at most hundreds of nodes.
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(node, ancestor) of a graph with edges (parent, child), however long its paths are.
+
+    The closure is squared in each round until it stays the same, so the number of rounds grows with
+    the logarithm of the longest path; each round is written, so none works out the earlier ones again.
+    On a circle each node is its own ancestor.
     """
-    closed = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct()
-    size, reach = closed.count(), 1
-    while reach < levels:
+    closed = written(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct())
+    size = closed.count()
+    while True:
         longer = closed.join(closed.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__up")), "ancestor").select("node", F.col("__up").alias("ancestor"))
-        closed = closed.unionByName(longer).distinct()
+        closed = written(closed.unionByName(longer).distinct())
         now = closed.count()
         if now == size:
-            break
-        size, reach = now, 2 * reach
-    return closed
+            return closed
+        size = now
 
 
 def roots_and_leaves(edges: DataFrame) -> DataFrame:
@@ -38,6 +40,29 @@ def markov_blanket(edges: DataFrame) -> DataFrame:
     return parents.unionByName(children).unionByName(mates).distinct()
 
 
+def immoralities(edges: DataFrame) -> DataFrame:
+    """(a, b, child): pairs of parents of one child, a < b, that no edge connects; an equivalence class shares them and its skeleton."""
+    a, b = edges.select(F.col("parent").alias("a"), "child"), edges.select(F.col("parent").alias("b"), "child")
+    pairs = a.join(b, "child").where("a < b")
+    known = edges.select(F.least("parent", "child").alias("a"), F.greatest("parent", "child").alias("b"))
+    return pairs.join(known, ["a", "b"], "left_anti").select("a", "b", "child")
+
+
+def intervened(edges: DataFrame, *nodes: str) -> DataFrame:
+    """The graph after setting some nodes: their incoming edges are gone."""
+    return edges.where(~F.col("child").isin(list(nodes)))
+
+
+def local_independencies(edges: DataFrame) -> DataFrame:
+    """(node, other): pairs that are independent given the node's parents: others that don't descend from it and aren't its parents."""
+    nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
+    below = ancestors(edges).select(F.col("ancestor").alias("node"), F.col("node").alias("other"))
+    near = below.unionByName(edges.select(F.col("child").alias("node"), F.col("parent").alias("other")))
+    others = nodes.agg(F.collect_set("node").alias("all"))  # a model's columns
+    pairs = nodes.join(F.broadcast(others)).select("node", F.explode("all").alias("other")).where("node <> other")
+    return pairs.join(near, ["node", "other"], "left_anti")
+
+
 def adjusted_effect(df: DataFrame, treatment: str, outcome: str, adjust: list[str]) -> DataFrame:
     """Mean difference of the outcome between treated and other rows, weighted over the strata of what is adjusted for.
 

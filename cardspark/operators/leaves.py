@@ -2,16 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardspark.operators.encode import cumulated, value_counts
+
+
+#: Values beyond which a leaf has bins instead of one line for each.
+MOST_VALUES = 10_000
+
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
     """Distinct values with probability and cumulated probability; nulls count for the total only."""
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("__total"))  # one row
-    p = counts.join(F.broadcast(total)).where("value IS NOT NULL").select("value", "n", (F.col("n") / F.col("__total")).alias("p"))
-    return p.withColumn("upto", F.sum("p").over(Window.orderBy("value")))  # one line for each value of a leaf
+    rows = cumulated(value_counts(df, column)).join(F.broadcast(total))
+    return rows.select("value", "n", (F.col("n") / F.col("__total")).alias("p"), (F.col("upto") / F.col("__total")).alias("upto"))
+
+
+def adaptive_histogram(df: DataFrame, column: str, bins: int = MOST_VALUES) -> DataFrame:
+    """As :func:`histogram` for up to ``bins`` values; beyond, bins of equal width, each standing at the mean of its values."""
+    one = df.agg(F.approx_count_distinct(column, 0.02).alias("d"), F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")).first()
+    if one["d"] <= bins or one["hi"] == one["lo"]:
+        return histogram(df, column)
+    x = F.col(column).cast("double")
+    code = F.least(F.floor((x - one["lo"]) / ((one["hi"] - one["lo"]) / bins)), F.lit(bins - 1))
+    binned = df.where(x.isNotNull()).groupBy(code.alias("__code")).agg(F.avg(x).alias("value"), F.count(F.lit(1)).alias("n"))
+    total = df.agg(F.count(F.lit(1)).alias("__total"))  # one row
+    rows = cumulated(binned.select("value", "n")).join(F.broadcast(total))
+    return rows.select("value", "n", (F.col("n") / F.col("__total")).alias("p"), (F.col("upto") / F.col("__total")).alias("upto"))
+
+
+def distinct_values(leaf: DataFrame, condition: Column) -> DataFrame:
+    """The values of a leaf inside a range, null never."""
+    return leaf.where(condition & F.col("value").isNotNull()).select("value")
+
+
+def likelihood(leaf: DataFrame, values: DataFrame) -> DataFrame:
+    """(value, p) of single values; one that the leaf has not seen has 0, null has no likelihood."""
+    return values.select("value").where("value IS NOT NULL").join(leaf.select("value", "p"), "value", "left").na.fill(0.0, ["p"])
+
+
+def narrowed(ranges: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Intersection of two ranges (low, high, low_open, high_open; null is unbounded) for each group row; an empty one is left out."""
+    o = other.select(*keys, *(F.col(c).alias(f"__{c}") for c in ("low", "high", "low_open", "high_open")))
+    both = ranges.join(o, keys, "left")
+
+    def end(name: str, pick, wins) -> tuple[Column, Column]:
+        a, b = F.col(name), F.col(f"__{name}")
+        open_a, open_b = F.coalesce(f"{name}_open", F.lit(False)), F.coalesce(f"__{name}_open", F.lit(False))
+        return pick(a, b), F.when(b.isNull(), open_a).when(a.isNull(), open_b).when(a == b, open_a | open_b).when(wins(a, b), open_a).otherwise(open_b)
+
+    (low, low_open), (high, high_open) = end("low", F.greatest, lambda a, b: a > b), end("high", F.least, lambda a, b: a < b)
+    out = both.select(*keys, low.alias("low"), high.alias("high"), low_open.alias("low_open"), high_open.alias("high_open"))
+    return out.where("low IS NULL OR high IS NULL OR low < high OR (low = high AND NOT low_open AND NOT high_open)")
 
 
 def moments(df: DataFrame, column: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cardspark.operators.encode import bounded
+
 
 def _lines(table: DataFrame, allowed: Column) -> DataFrame:
     """Per parent state: mass of the allowed values, and they themselves with cumulated shares of that mass."""
@@ -28,7 +30,8 @@ def progressive_sample(spark: SparkSession, n: int, tables: list[tuple[str, str
     rows = spark.range(n).withColumn("weight", F.lit(1.0))
     for k, (variable, parent, table) in enumerate(tables):
         lines = _lines(table, conditions.get(variable, F.lit(True)))
-        rows = rows.join(lines, F.col(parent).eqNullSafe(F.col("__parent")), "left") if parent else rows.join(F.broadcast(lines))
+        lines = F.broadcast(bounded(lines))  # a line for each state of the parent: rows stay where they are
+        rows = rows.join(lines, F.col(parent).eqNullSafe(F.col("__parent")), "left") if parent else rows.join(lines)
         drawn = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 40)) / float(1 << 40) * F.col("__mass")
         rows = rows.withColumn("__u", drawn).withColumn("weight", F.coalesce(F.col("weight") * F.col("__mass"), F.lit(0.0)))
         hit = F.filter("__lines", lambda x: x["__hi"] > F.col("__u"))

@@ -64,11 +64,81 @@ def correlations(df: DataFrame, x: str, y: str, given: str) -> DataFrame:
     return one.select(F.col("xy").alias("pearson"), partial.alias("partial"), "covariance")
 
 
+def covariances(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, covariance) of all pairs of columns, each with itself too, in one pass."""
+    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k:]]
+    one = df.agg(*(F.covar_samp(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)))
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("covariance")) for k, (a, b) in enumerate(pairs)))).alias("x")
+    return one.select(each).select("x.*")
+
+
+def chi_square_pooled(df: DataFrame, x: str, y: str, strata: list[str]) -> DataFrame:
+    """Chi-squared statistic of conditional independence over all cells of all strata at once.
+
+    Cells whose expectation is 0 are left out; degrees of freedom are those of the whole table of
+    values, whichever of them a stratum has.
+    """
+    counted = df.groupBy(*strata, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    own, by_x, by_y = (Window.partitionBy(*strata, *extra) for extra in ([], ["x"], ["y"]))
+    cells = counted.select(*strata, "x", "y", "n", F.sum("n").over(own).alias("t"), F.sum("n").over(by_x).alias("nx"), F.sum("n").over(by_y).alias("ny"))
+    expected = F.col("nx").cast("double") * F.col("ny") / F.col("t")
+    per = cells.groupBy(*strata).agg((F.sum(F.col("n") * F.col("n") / expected) - F.first("t")).alias("chi2"))
+    sizes = counted.agg((F.count_distinct("x") - 1).alias("dx"), (F.count_distinct("y") - 1).alias("dy"))
+    return per.agg(F.sum("chi2").alias("chi2"), F.count(F.lit(1)).alias("k")).join(F.broadcast(sizes)).select("chi2", (F.col("dx") * F.col("dy") * F.col("k")).alias("dof"))
+
+
+def binary_tree(df: DataFrame, columns: list[str], alpha: float = 0.01) -> DataFrame:
+    """Chow-Liu tree of 0/1 columns with smoothed counts: (parent, node, parent_value, value, log_p), parents first from the first column.
+
+    Sums of single columns and of products of two come from one aggregation; each cell of a pair's table
+    gets ``alpha``, each value of a single column twice as much.
+    """
+    import math
+
+    pairs = list(combinations(columns, 2))
+    one = df.agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"s{k}") for k, c in enumerate(columns)), *(F.sum(F.col(a) * F.col(b)).alias(f"p{k}") for k, (a, b) in enumerate(pairs))).first()
+    n, single = one["n"], {c: float(one[f"s{k}"] or 0) for k, c in enumerate(columns)}
+    both = {p: float(one[f"p{k}"] or 0) for k, p in enumerate(pairs)}
+
+    def joint(a: str, b: str) -> dict[tuple[int, int], float]:
+        ones = both[(a, b)] if (a, b) in both else both[b, a]
+        cells = {(1, 1): ones, (1, 0): single[a] - ones, (0, 1): single[b] - ones, (0, 0): n - single[a] - single[b] + ones}
+        return {k: (v + alpha) / (n + 4 * alpha) for k, v in cells.items()}
+
+    def alone(a: str) -> dict[int, float]:
+        p = (single[a] + 2 * alpha) / (n + 4 * alpha)
+        return {1: p, 0: 1 - p}
+
+    gain = [(a, b, sum(p * math.log(p / (alone(a)[x] * alone(b)[y])) for (x, y), p in joint(a, b).items())) for a, b in pairs]
+    near: dict[str, list[str]] = {c: [] for c in columns}
+    for a, b, _ in maximum_tree(gain):
+        near[a].append(b)
+        near[b].append(a)
+    lines, seen, waiting = [(None, columns[0], None, x, math.log(p)) for x, p in alone(columns[0]).items()], {columns[0]}, [columns[0]]
+    while waiting:
+        a = waiting.pop()
+        for b in sorted(near[a]):
+            if b not in seen:
+                seen.add(b)
+                waiting.append(b)
+                lines += [(a, b, x, y, math.log(p / alone(a)[x])) for (x, y), p in joint(a, b).items()]
+    return df.sparkSession.createDataFrame(lines, "parent string, node string, parent_value int, value int, log_p double")
+
+
 def completeness(df: DataFrame, x: str, y: str) -> DataFrame:
     """Share of the product of two columns' values that occurs."""
     return df.agg(F.count_distinct(x, y).alias("pairs"), (F.count_distinct(x) * F.count_distinct(y)).alias("product")).withColumn("completeness", F.col("pairs") / F.col("product"))
 
 
+def linear_gaussian(df: DataFrame, target: str, features: list[str]) -> tuple[list[float], float]:
+    """Coefficients of a linear Gaussian table (see :func:`least_squares`) and the variance of what is left, in one further pass."""
+    beta = least_squares(df, target, features)
+    names = [*features, target]
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in names)).na.drop()
+    mean = F.lit(beta[0]) + sum((F.col(c) * b for c, b in zip(features, beta[1:])), F.lit(0.0))
+    return beta, rows.agg(F.avg(F.pow(F.col(target) - mean, F.lit(2))).alias("v")).first()["v"]
+
+
 def least_squares(df: DataFrame, target: str, features: list[str]) -> list[float]:
     """Intercept and slopes by normal equations: the sums are one aggregation, the solution is as small as the features."""
     import numpy as np

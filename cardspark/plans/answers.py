@@ -31,7 +31,7 @@ def approximate_expressions(spark: SparkSession, d: str) -> DataFrame:
     """SUM of a product, and the difference of two SUMs."""
     sample = _sample(spark, d)
     product = aqp.estimates(sample, RATE, F.col("l_extendedprice") * F.col("l_discount"), ["l_returnflag"]).select("l_returnflag", F.round("sum_est", 4).alias("product_est"))
-    difference = aqp.estimates(sample, RATE, F.col("l_extendedprice") - F.col("l_tax"), ["l_returnflag"]).select("l_returnflag", F.round("sum_est", 2).alias("difference_est"))
+    difference = aqp.combined(sample, RATE, [("+", F.col("l_extendedprice")), ("-", F.col("l_tax"))], ["l_returnflag"]).select("l_returnflag", F.round("sum_est", 2).alias("difference_est"))
     return product.join(difference, "l_returnflag")
 
 

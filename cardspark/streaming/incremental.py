@@ -55,8 +55,12 @@ def current(spark: SparkSession, folder: str, group: str) -> DataFrame:
 
 
 def nearest_center(columns: list[str], centers: list[tuple[float, ...]]) -> Column:
-    """Number of the centre a row is nearest to; the first of equally near ones."""
-    away = [sum((F.pow(F.col(c) - x, F.lit(2)) for c, x in zip(columns, center)), F.lit(0.0)) for center in centers]
+    """Number of the centre a row is nearest to; the first of equally near ones.
+
+    A null component says nothing: distances go by the components that the row has, and a row without
+    any is the first centre's.
+    """
+    away = [sum((F.coalesce(F.pow(F.col(c) - x, F.lit(2)), F.lit(0.0)) for c, x in zip(columns, center)), F.lit(0.0)) for center in centers]
     least = F.least(*away) if len(away) > 1 else away[0]
     out = F.lit(len(centers) - 1)
     for k in reversed(range(len(centers) - 1)):
