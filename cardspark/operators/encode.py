@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 MOST_CATEGORIES = 10_000
 #: Stretches of values that running sums are worked out in, each by itself.
 STRETCHES = 256
+#: Dictionaries up to this length are written into the plan instead of being joined.
+SHORT = 256
 NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
 
 
@@ -213,63 +215,105 @@ class Encoding:
         return 1 + max((line[0] for line in self.lines), default=0)
 
     def codes(self, df: DataFrame, out: str) -> DataFrame:
-        """``df`` with the column's codes as ``out``; values that the encoding doesn't know are null's."""
+        """``df`` with the column's codes as ``out``; NaN and values that the encoding doesn't know are null's."""
         if self.kind == "continuous":
             x = F.col(self.column).cast("double")
             bins = [line for line in self.lines if line[0]]
             code = F.lit(1) + sum(((x > line[3]).cast("int") for line in bins[1:]), F.lit(0))
-            inside = (x >= bins[0][3]) & (x <= bins[-1][4]) if bins else F.lit(False)
+            inside = ~F.isnan(x) & (x >= bins[0][3]) & (x <= bins[-1][4]) if bins else F.lit(False)
             return df.withColumn(out, F.when(inside, code).otherwise(0))
-        spark, key = df.sparkSession, "number" if self.numeric else "text"
         kind = "double" if self.numeric else "string"
-        lines = spark.createDataFrame([(line[2] if self.numeric else line[1], line[0]) for line in self.lines if line[0]], f"__{key} {kind}, __code int")
-        joined = df.join(F.broadcast(lines), F.col(self.column).cast(kind) == F.col(f"__{key}"), "left")  # at most MOST_CATEGORIES
-        return joined.withColumn(out, F.coalesce("__code", F.lit(0))).drop(f"__{key}", "__code")
-
-
-def encode_column(df: DataFrame, column: str, kind: str, n_mcv: int, n_bins: int, accuracy: int = 10_000) -> Encoding:
-    """Encoding of one column; its lines are collected, being at most ``MOST_CATEGORIES`` or twice ``n_bins``."""
-    numeric, n_null = column in numeric_columns(df), df.where(F.col(column).isNull()).count()
-    null = (0, None, None, None, None, n_null, 1.0, 1)
-    if kind == "continuous":
-        cuts = quantile_bins(df, column, 2 * n_bins, accuracy).orderBy("code").collect()
-        ends = [(r["code"] + 1, float(r["lo"]), float(r["hi"])) for r in cuts]
-        if not ends:  # a single value
-            one = df.agg(F.min(column).cast("double").alias("x")).first()["x"]
-            ends = [(1, one, one)] if one is not None else []
-        empty = Encoding(column, kind, numeric, (null, *((code, None, None, lo, hi, 0, 1.0, 1) for code, lo, hi in ends)))
-        per = {r["__c"]: r for r in empty.codes(df.select(column), "__c").groupBy("__c").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(column, 0.02).alias("d")).collect()}
-        counted = ((code, None, None, lo, hi, per[code]["n"] if code in per else 0, 1.0, max(1, per[code]["d"]) if code in per else 1) for code, lo, hi in ends)
-        return Encoding(column, kind, numeric, (null, *counted))
-    counts = bounded(value_counts(df, column))
-    top = counts.withColumn("k", F.row_number().over(Window.orderBy(F.desc("n"), "value"))).cache()
-    common, rest = top.where(F.col("k") <= n_mcv), top.where(F.col("k") > n_mcv)
-    tail = rest.join(F.broadcast(cut_values(rest, n_bins))).withColumn("k", F.size(F.filter("cuts", lambda c: c < F.col("value"))) + n_mcv + 1)
-    lines = common.select("k", "value", "n").unionByName(tail.select("k", "value", "n"))
-    lines = lines.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("k"))).select("k", F.col("value").cast("string").alias("text"), (F.col("value").cast("double") if numeric else F.lit(None).cast("double")).alias("number"), "n", "share")
-    found = sorted(lines.collect(), key=lambda r: (r["k"], r["number"] if numeric else r["text"]))
-    top.unpersist()
-    # Codes without a gap, in order of those above.
-    place = {k: i + 1 for i, k in enumerate(sorted({r["k"] for r in found}))}
-    return Encoding(column, kind, numeric, (null, *((place[r["k"]], r["text"], r["number"], None, None, r["n"], r["share"], 1) for r in found)))
-
-
-def encode_table(df: DataFrame, columns: list[str], n_mcv: int = 30, n_bins: int = 30, error: float | None = 0.02) -> list[Encoding]:
+        known = [(line[2] if self.numeric else line[1], line[0]) for line in self.lines if line[0]]
+        x = F.col(self.column).cast(kind)
+        if len(known) <= SHORT:
+            at = F.array_position(F.array(*(F.lit(v) for v, _ in known)).cast(f"array<{kind}>"), x)
+            return df.withColumn(out, F.when(at > 0, F.element_at(F.array(*(F.lit(c) for _, c in known)).cast("array<int>"), at.cast("int"))).otherwise(0))
+        lines = df.sparkSession.createDataFrame(known, f"__value {kind}, __code int")
+        joined = df.join(F.broadcast(lines), x == F.col("__value"), "left")  # at most MOST_CATEGORIES
+        return joined.withColumn(out, F.coalesce("__code", F.lit(0))).drop("__value", "__code")
+
+
+def value_codes(counts: list[tuple[object, int]], n_mcv: int, n_bins: int) -> list[tuple[object, int, int, float]]:
+    """(value, code, n, share of its code) of a dictionary's (value, n): most common values first, then bins as in :func:`tail_bins`."""
+    ordered = sorted(counts, key=lambda x: (-x[1], x[0]))
+    out = [(v, k + 1, n, 1.0) for k, (v, n) in enumerate(ordered[:n_mcv])]
+    rest = sorted(ordered[n_mcv:])
+    total, q, code, held, size = sum(n for _, n in rest), min(n_bins, len(rest)), len(out) + 1, [], 0
+    for k, (v, n) in enumerate(rest):
+        size = n + (size if held else 0)
+        held.append((v, n))
+        if size * q >= total or k + 1 == len(rest):
+            out += [(w, code, m, m / size) for w, m in held]
+            code, held = code + 1, []
+    return out
+
+
+def encode_table(df: DataFrame, columns: list[str], n_mcv: int = 30, n_bins: int = 30, error: float | None = 0.02, accuracy: int = 10_000) -> list[Encoding]:
     """Encodings of all columns, with the codes' mean fan-outs where a column is one.
 
-    Kinds follow :func:`attribute_kinds`; a column of a few values is categorical.  Text columns with too
-    many categories must be left out before (see :func:`pruned_attributes`).
+    Kinds follow :func:`attribute_kinds`: continuous columns get 2 * ``n_bins`` bins between approximate
+    quantiles, others the codes of :func:`value_codes`.  Each step is one job for all columns; what is
+    collected are dictionaries of at most ``MOST_CATEGORIES`` values and bins.  A text column with too
+    many categories raises an error and must be left out before (see :func:`pruned_attributes`).
     """
-    kinds = {r["attribute"]: r["kind"] for r in attribute_kinds(df, columns, error).collect()}
+    numeric = numeric_columns(df)
+    kinds = {r["attribute"]: r for r in attribute_kinds(df, columns, error).collect()}
+    continuous = [c for c in columns if kinds[c]["kind"] == "continuous"]
+    others = [c for c in columns if c not in continuous]
+    crowded = [c for c in others if kinds[c]["n_distinct"] > MOST_CATEGORIES * (1 + 3 * (error or 0))]
+    if crowded:
+        raise ValueError(f"too many categories: {crowded}")
+
+    def some(c: str) -> Column:
+        return F.nanvl(F.col(c).cast("double"), F.lit(None)) if df.schema[c].dataType.typeName() in ("float", "double") else F.col(c)
+
+    lines: dict[str, list[tuple]] = {}
+    if others:
+        each = F.array(*(F.struct(F.lit(k).alias("k"), some(c).cast("string").alias("text"), (some(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("number")) for k, c in enumerate(others)))
+        found: list[list[tuple]] = [[] for _ in others]
+        for r in df.select(F.explode(each).alias("x")).groupBy("x.k", "x.text", "x.number").agg(F.count(F.lit(1)).alias("n")).collect():
+            found[r["k"]].append((r["text"], r["number"], r["n"]))
+        for c, own in zip(others, found):
+            texts = {(number if c in numeric else text): text for text, number, _ in own if text is not None}
+            coded = value_codes([(number if c in numeric else text, n) for text, number, n in own if text is not None], n_mcv, n_bins)
+            null = (0, None, None, None, None, sum(n for text, _, n in own if text is None), 1.0, 1)
+            lines[c] = [null, *((code, texts[v], v if c in numeric else None, None, None, n, share, 1) for v, code, n, share in coded)]
+    if continuous:
+        points = F.array(*(F.lit(k / (2 * n_bins)) for k in range(2 * n_bins + 1)))
+        one = df.agg(*(x for k, c in enumerate(continuous) for x in (F.percentile_approx(some(c), points, accuracy).alias(f"q{k}"), F.min(some(c)).alias(f"lo{k}"), F.max(some(c)).alias(f"hi{k}")))).first()
+        for k, c in enumerate(continuous):
+            cuts = sorted({float(x) for x in (one[f"q{k}"] or [])[1:-1] if one[f"lo{k}"] < x < one[f"hi{k}"]})
+            ends = [float(one[f"lo{k}"]), *cuts, float(one[f"hi{k}"])] if one[f"q{k}"] else []
+            lines[c] = [(0, None, None, None, None, 0, 1.0, 1), *((i + 1, None, None, lo, hi, 0, 1.0, 1) for i, (lo, hi) in enumerate(zip(ends, ends[1:])))]
+    out = [Encoding(c, "continuous" if c in continuous else "categorical", c in numeric, tuple(lines[c])) for c in columns]
+    means = [c for c in columns if fan_out_kind(c)]
+    if continuous or means:
+        out = _measured(df, out, continuous, means)
+    return out
+
+
+def _measured(df: DataFrame, encodings: list[Encoding], continuous: list[str], means: list[str]) -> list[Encoding]:
+    """Rows and distinct values of each bin, and mean fan-outs of each code, from one pass."""
+    rows, wanted = df, [e for e in encodings if e.column in continuous or e.column in means]
+    for k, e in enumerate(wanted):
+        rows = e.codes(rows, f"__code{k}")
+
+    def feature(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return 1 / F.greatest(x, F.lit(1.0)) if fan_out_kind(c) == "inverse" else x
+
+    each = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"__code{k}").alias("code"), F.col(e.column).cast("double").alias("v"), feature(e.column).alias("f")) for k, e in enumerate(wanted)))
+    per = {}
+    for r in rows.select(F.explode(each).alias("x")).groupBy("x.k", "x.code").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("x.v", 0.02).alias("d"), F.avg("x.f").alias("f")).collect():  # a row for each code
+        per[wanted[r["k"]].column, r["code"]] = r
     out = []
-    for c in columns:
-        own = encode_column(df, c, "continuous" if kinds[c] == "continuous" else "categorical", n_mcv, n_bins)
-        if how := fan_out_kind(c):
-            x = F.col(c).cast("double")
-            mean = F.avg(x if how == "direct" else 1 / F.greatest(x, F.lit(1.0)))
-            per = {r["__c"]: r["f"] or 0.0 for r in own.codes(df.select(c), "__c").groupBy("__c").agg(mean.alias("f")).collect()}  # a row for each code
-            own = Encoding(c, own.kind, own.numeric, own.lines, tuple(float(per.get(k, 0.0)) for k in range(own.size)))
-        out.append(own)
+    for e in encodings:
+        lines, fan_out = e.lines, None
+        if e.column in continuous:
+            lines = tuple((*line[:5], per[e.column, line[0]]["n"], line[6], max(1, per[e.column, line[0]]["d"])) if (e.column, line[0]) in per else line for line in lines)
+        if e.column in means:
+            fan_out = tuple(float(per[e.column, k]["f"] or 0.0) if (e.column, k) in per else 0.0 for k in range(e.size))
+        out.append(Encoding(e.column, e.kind, e.numeric, lines, fan_out))
     return out
 
 

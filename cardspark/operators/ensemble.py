@@ -54,20 +54,22 @@ def _with(conditions: DataFrame, queries: DataFrame, *present: str) -> DataFrame
     return reduce(DataFrame.unionByName, each, conditions.select("query_id", "attribute", "op", "values"))
 
 
-def pair_estimate(one: EdgeModel, conditions: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, cardinality) of the inner join of an edge's tables."""
-    both = _with(conditions, queries, f"{one.edge.parent}_nn", f"{one.edge.child}_nn")
-    return trees.expectation(one.model, both, (), queries).select("query_id", "cardinality")
+def pair_estimate(one: EdgeModel, conditions: DataFrame, queries: DataFrame, attributes: set[str] | None = None) -> DataFrame:
+    """(query_id, cardinality) of the inner join of an edge's tables; ``attributes`` are those that conditions name, where known."""
+    present = [f"{one.edge.parent}_nn", f"{one.edge.child}_nn"]
+    both = _with(conditions, queries, *present)
+    return trees.expectation(one.model, both, (), queries, None if attributes is None else {*attributes, *present}).select("query_id", "cardinality")
 
 
-def side_estimate(one: EdgeModel, table: str, columns: list[str], conditions: DataFrame, queries: DataFrame) -> DataFrame:
+def side_estimate(one: EdgeModel, table: str, columns: list[str], conditions: DataFrame, queries: DataFrame, attributes: set[str] | None = None) -> DataFrame:
     """(query_id, cardinality) of one table of an edge under the conditions on its ``columns``.
 
     A parent's row stands in the outer join once for each child, so each counts 1 / fan-out.
     """
     own = _with(conditions.where(F.col("attribute").isin(columns)), queries, f"{table}_nn")
     inverse = [f"{one.edge.fan_out}_nn"] if table == one.edge.parent else []
-    return trees.expectation(one.model, own, inverse, queries).select("query_id", "cardinality")
+    named = None if attributes is None else {*(attributes & set(columns)), f"{table}_nn"}
+    return trees.expectation(one.model, own, inverse, queries, named).select("query_id", "cardinality")
 
 
 def _orders(edges: list[Relationship]) -> list[list[tuple[Relationship, str | None]]]:
@@ -95,21 +97,27 @@ def join_estimate(models: dict[tuple[str, str], EdgeModel], edges: list[Relation
     two), 1 at least.  A factor of 0 gives 1.
     """
     queries = (conditions if queries is None else queries).select("query_id").distinct()
+    attributes = {r["attribute"] for r in conditions.select("attribute").distinct().collect()}  # columns of the schema
+    orders = _orders(edges)
+    # Each factor is worked out once, as a column; the variants are products of them.
+    total, names = queries, {}
+    for edge in edges:
+        one = models[edge.child, edge.parent]
+        parts = {None: pair_estimate(one, conditions, queries, attributes)}
+        parts |= {t: side_estimate(one, t, columns.get(t, []), conditions, queries, attributes) for t in {shared for order in orders for e, shared in order if e == edge and shared}}
+        for table, part in parts.items():
+            names[edge, table] = f"__f{len(names)}"
+            total = total.join(part.withColumnRenamed("cardinality", names[edge, table]), "query_id")
     variants = []
-    for order in _orders(edges):
-        total = None
+    for order in orders:
+        size = F.lit(1.0)
         for edge, shared in order:
-            one = models[edge.child, edge.parent]
-            size = pair_estimate(one, conditions, queries)
-            if shared is None:
-                total = size
-                continue
-            part = side_estimate(one, shared, columns.get(shared, []), conditions, queries).withColumnRenamed("cardinality", "__part")
-            total = total.join(size.withColumnRenamed("cardinality", "__size"), "query_id").join(part, "query_id")
-            total = total.select("query_id", F.when(F.col("__part") > 0, F.col("cardinality") * F.col("__size") / F.col("__part")).otherwise(0.0).alias("cardinality"))
-        variants.append(total)
-    found = reduce(DataFrame.unionByName, variants).groupBy("query_id").agg(F.sort_array(F.collect_list("cardinality")).alias("all"))  # at most MOST_VARIANTS numbers
-    return found.select("query_id", F.greatest(F.lit(1.0), F.get("all", F.floor(F.size("all") / 2).cast("int"))).alias("cardinality"))
+            size = size * F.col(names[edge, None])
+            if shared is not None:
+                size = F.when(F.col(names[edge, shared]) > 0, size / F.col(names[edge, shared])).otherwise(0.0)
+        variants.append(size)
+    found = F.sort_array(F.array(*variants))  # at most MOST_VARIANTS numbers
+    return total.select("query_id", F.greatest(F.lit(1.0), F.get(found, F.lit(len(variants) // 2))).alias("cardinality"))
 
 
 def naive_join_estimate(models: dict[str, TreeModel], size: float, conditions: DataFrame, queries: DataFrame | None = None) -> DataFrame:

@@ -75,8 +75,8 @@ def pair_counts(codes: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def learn_edges(codes: DataFrame, columns: list[str], rows: int, root: str | None = None, sample_rows: int = STRUCTURE_ROWS, seed: int = 17) -> list[tuple[str, str]]:
     """Directed edges of the Chow-Liu tree; beyond ``sample_rows`` rows it is learnt from a sample of about as many."""
-    if len(columns) < 2:
-        return []
+    if len(columns) < 3:  # only one tree
+        return [(root or columns[0], next(c for c in columns if c != (root or columns[0])))] if len(columns) == 2 else []
     part = codes if rows <= sample_rows else codes.sample(fraction=sample_rows / rows, seed=seed)
     found = stats.chow_liu(part, columns)
     near: dict[str, list[str]] = {c: [] for c in columns}
@@ -105,7 +105,7 @@ def fit(df: DataFrame, columns: list[str], n_mcv: int = 30, n_bins: int = 30, ro
     """
     encodings = encode.encode_table(df, columns, n_mcv, n_bins, error)
     codes = encode.encoded(df, encodings)
-    rows = codes.count()
+    rows = sum(line[5] for line in encodings[0].lines) if encodings else 0
     edges = learn_edges(codes, columns, rows, root, sample_rows) if edges is None else edges
     size = {e.column: e.size for e in encodings}
     pairs = [*edges, *((c, c) for c in columns)]
@@ -178,13 +178,16 @@ def _upwards(k: int, join) -> Column:
     return F.transform(f"t_{k}", lambda row: join(row, F.col(f"v_{k}")))
 
 
-def _asked(model: TreeModel, conditions: DataFrame, queries: DataFrame | None) -> tuple[DataFrame, set[str]]:
+def _asked(model: TreeModel, conditions: DataFrame, queries: DataFrame | None, attributes: set[str] | None = None) -> tuple[DataFrame, set[str]]:
     """A row for each query with the arrays of weights by column (null where nothing is asked), and the columns asked for.
 
-    ``known`` tells whether the model has all columns that a query names.
+    ``known`` tells whether the model has all columns that a query names.  ``attributes`` are the columns that
+    conditions name, where that is known.
     """
     spark, columns = conditions.sparkSession, model.columns
-    asked = {r["attribute"] for r in conditions.select("attribute").distinct().where(F.col("attribute").isin(columns)).collect()}  # at most the model's columns
+    if attributes is None:
+        attributes = {r["attribute"] for r in conditions.select("attribute").distinct().where(F.col("attribute").isin(columns)).collect()}  # at most the model's columns
+    asked = attributes & set(columns)
     ids = conditions.select("query_id").distinct() if queries is None else queries.select("query_id").distinct()
     if queries is None:
         known = conditions.groupBy("query_id").agg(F.min(F.col("attribute").isin(columns)).alias("known"))
@@ -242,14 +245,14 @@ def _sent(model: TreeModel, rows: DataFrame, asked: set[str], root: str, fan_out
     return rows, top, others
 
 
-def expectation(model: TreeModel, conditions: DataFrame, fan_outs: list[str] = (), queries: DataFrame | None = None) -> DataFrame:
+def expectation(model: TreeModel, conditions: DataFrame, fan_outs: list[str] = (), queries: DataFrame | None = None, attributes: set[str] | None = None) -> DataFrame:
     """(query_id, p, cardinality): E[1(conditions) * product of fan-outs], and that times the model's rows.
 
     ``conditions`` has the columns of ``CONDITIONS``.  A query that names a column unknown to the model has a
     null result, unless ``queries`` lists the ids: then only what the model knows counts, and queries without
     conditions have an answer as well.  Fan-outs are columns of the model (see ``encode.fan_out_kind``).
     """
-    rows, asked = _asked(model, conditions, queries)
+    rows, asked = _asked(model, conditions, queries, attributes)
     if not model.rows:
         return rows.select("query_id", F.when(F.col("known"), F.lit(0.0)).alias("p"), F.when(F.col("known"), F.lit(0.0)).alias("cardinality"))
     root = next((c for c in model.columns if c in asked or c in fan_outs), model.columns[0])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardspark.plans import answers, models, relational  # noqa: F401  each registers its queries
+from cardspark.plans import algebra, answers, estimates, models, relational  # noqa: F401  each registers its queries
 from cardspark.plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "outer_join_identity"

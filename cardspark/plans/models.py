@@ -79,9 +79,16 @@ def mutual_information(spark: SparkSession, d: str) -> DataFrame:
     return stats.mutual_information(S.read(spark, d, "lineitem"), FLAGS).withColumn("mi", F.round("mi", 9))
 
 
-@query()
+_TREE_COLUMNS = [*FLAGS, "l_tax", "l_discount"]
+
+
+@query("WITH RECURSIVE e AS (" + " UNION ALL ".join(_MI.format(a=a, b=b) for k, a in enumerate(_TREE_COLUMNS) for b in _TREE_COLUMNS[k + 1 :]) + f"""),
+          p AS (SELECT ['{_TREE_COLUMNS[0]}'] AS members, NULL::VARCHAR AS a, NULL::VARCHAR AS b, NULL::DOUBLE AS mi
+                UNION ALL SELECT * FROM (SELECT list_append(p.members, CASE WHEN list_contains(p.members, e.a) THEN e.b ELSE e.a END) AS members, e.a, e.b, e.mi FROM p JOIN e ON list_contains(p.members, e.a) <> list_contains(p.members, e.b) ORDER BY e.mi DESC LIMIT 1))
+          SELECT a, b, mi FROM p WHERE a IS NOT NULL""")
 def chow_liu_edges(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(stats.chow_liu(S.read(spark, d, "lineitem"), [*FLAGS, "l_tax", "l_discount"]), "a string, b string, mi double")
+    edges = stats.chow_liu(S.read(spark, d, "lineitem"), _TREE_COLUMNS)
+    return spark.createDataFrame([(a, b, round(mi, 9)) for a, b, mi in edges], "a string, b string, mi double")
 
 
 _CHI = "SELECT round(sum(chi), 6) AS chi2, sum(dof)::BIGINT AS dof FROM (SELECT sum(n * n / (nx * ny / t)) - any_value(t) AS chi, (count(DISTINCT x) - 1) * (count(DISTINCT y) - 1) AS dof FROM (SELECT s, x, y, n::DOUBLE AS n, sum(n) OVER (PARTITION BY s)::DOUBLE AS t, sum(n) OVER (PARTITION BY s, x)::DOUBLE AS nx, sum(n) OVER (PARTITION BY s, y)::DOUBLE AS ny FROM (SELECT {s} AS s, l_returnflag AS x, l_linestatus AS y, count(*) AS n FROM lineitem GROUP BY ALL)) GROUP BY s)"
@@ -245,6 +252,15 @@ def ancestral_sample(spark: SparkSession, d: str) -> DataFrame:
     return bayes.ancestral_sample(spark, 10_000, [("flag", None, flag), ("status", "flag", status), ("tax", "flag", taxes)], seed=17)
 
 
+@query("SELECT count(*) > 0 AS some, 10000::BIGINT AS n, true AS close FROM lineitem")
+def ancestral_sample_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Frequencies of flag and status in 10,000 drawn rows come within two hundredths of the model's."""
+    drawn = ancestral_sample(spark, d).groupBy(F.col("flag").alias("f"), F.col("status").alias("s")).agg((F.count(F.lit(1)) / 10_000).alias("q"))
+    truth = bayes.product(*_factors(spark, d))
+    far = truth.join(drawn, ["f", "s"], "full_outer").agg(F.max(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))).alias("far"), F.round(F.sum("q") * 10_000).cast("long").alias("n"))
+    return far.select(F.lit(True).alias("some"), "n", (F.col("far") < 0.02).alias("close"))
+
+
 SPN_COLUMNS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 
 
@@ -340,3 +356,19 @@ def progressive_probability(spark: SparkSession, d: str) -> DataFrame:
     flag, status, taxes = _flag_tree(spark, d)
     conditions = {"flag": F.col("value").isin("N", "R"), "status": F.col("value") == "O", "tax": F.col("value").between(0.02, 0.05)}
     return progressive.estimated_probability(progressive.progressive_sample(spark, 10_000, [("flag", None, flag), ("status", "flag", status), ("tax", "flag", taxes)], conditions, seed=3))
+
+
+@query("SELECT true AS probability_close, true AS expectation_close")
+def progressive_sample_quality(spark: SparkSession, d: str) -> DataFrame:
+    """A probability and an expectation by progressive sampling come within five standard errors (or a hundredth) of the exact ones."""
+    flag, status, taxes = _flag_tree(spark, d)
+    conditions = {"flag": F.col("value").isin("N", "R"), "status": F.col("value") == "O"}
+    sample = progressive.progressive_sample(spark, 10_000, [("flag", None, flag), ("status", "flag", status), ("tax", "flag", taxes)], conditions, seed=5)
+    estimate = progressive.estimated_probability(sample).select(F.col("p").alias("p_est"), "error")
+    mean = progressive.weighted_expectation(sample, F.col("tax")).select("expectation")
+    below = bayes.message(status, bayes.inside(conditions["status"]))
+    tax = bayes.message(taxes, F.col("value").cast("double"))
+    exact = bayes.message(flag, bayes.inside(conditions["flag"]), below).select(F.col("m").alias("p_exact"))
+    exact_mean = bayes.message(flag, bayes.inside(conditions["flag"]), below, tax).select(F.col("m").alias("e_exact"))
+    one = estimate.join(F.broadcast(mean)).join(F.broadcast(exact)).join(F.broadcast(exact_mean))  # one row each
+    return one.select((F.abs(F.col("p_est") - F.col("p_exact")) <= 5 * F.col("error") + 1e-6).alias("probability_close"), (F.abs(F.col("expectation") - F.col("e_exact")) < 0.01).alias("expectation_close"))
