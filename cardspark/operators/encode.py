@@ -269,15 +269,15 @@ def encode_table(df: DataFrame, columns: list[str], n_mcv: int = 30, n_bins: int
 
     lines: dict[str, list[tuple]] = {}
     if others:
-        each = F.array(*(F.struct(F.lit(k).alias("k"), some(c).cast("string").alias("text"), (some(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("number")) for k, c in enumerate(others)))
-        found: list[list[tuple]] = [[] for _ in others]
+        each = F.array(*(F.struct(F.lit(k).alias("k"), (F.lit(None) if c in numeric else F.col(c)).cast("string").alias("text"), (some(c) if c in numeric else F.lit(None)).cast("double").alias("number")) for k, c in enumerate(others)))
+        found: list[dict] = [{} for _ in others]
         for r in df.select(F.explode(each).alias("x")).groupBy("x.k", "x.text", "x.number").agg(F.count(F.lit(1)).alias("n")).collect():
-            found[r["k"]].append((r["text"], r["number"], r["n"]))
+            found[r["k"]][r["number"] if others[r["k"]] in numeric else r["text"]] = r["n"]
         for c, own in zip(others, found):
-            texts = {(number if c in numeric else text): text for text, number, _ in own if text is not None}
-            coded = value_codes([(number if c in numeric else text, n) for text, number, n in own if text is not None], n_mcv, n_bins)
-            null = (0, None, None, None, None, sum(n for text, _, n in own if text is None), 1.0, 1)
-            lines[c] = [null, *((code, texts[v], v if c in numeric else None, None, None, n, share, 1) for v, code, n, share in coded)]
+            whole = df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")
+            null = (0, None, None, None, None, own.pop(None, 0), 1.0, 1)
+            text = (lambda v: str(int(v)) if whole else str(v)) if c in numeric else str  # noqa: B023  used at once
+            lines[c] = [null, *((code, text(v), v if c in numeric else None, None, None, n, share, 1) for v, code, n, share in value_codes(list(own.items()), n_mcv, n_bins))]
     if continuous:
         points = F.array(*(F.lit(k / (2 * n_bins)) for k in range(2 * n_bins + 1)))
         one = df.agg(*(x for k, c in enumerate(continuous) for x in (F.percentile_approx(some(c), points, accuracy).alias(f"q{k}"), F.min(some(c)).alias(f"lo{k}"), F.max(some(c)).alias(f"hi{k}")))).first()

@@ -10,8 +10,9 @@ messages of the whole tree, from the leaves to the root, for each query.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardspark.operators import encode, stats
@@ -78,7 +79,11 @@ def learn_edges(codes: DataFrame, columns: list[str], rows: int, root: str | Non
     if len(columns) < 3:  # only one tree
         return [(root or columns[0], next(c for c in columns if c != (root or columns[0])))] if len(columns) == 2 else []
     part = codes if rows <= sample_rows else codes.sample(fraction=sample_rows / rows, seed=seed)
-    found = stats.chow_liu(part, columns)
+    pairs = list(combinations(columns, 2))
+    whole, by_x, by_y = (Window.partitionBy("pair", *extra) for extra in ([], ["x"], ["y"]))
+    counts = pair_counts(part, pairs).select("pair", "n", F.sum("n").over(whole).alias("t"), F.sum("n").over(by_x).alias("nx"), F.sum("n").over(by_y).alias("ny"))
+    gain = F.col("n") / F.col("t") * F.log(F.col("n").cast("double") * F.col("t") / (F.col("nx").cast("double") * F.col("ny")))
+    found = stats.maximum_tree([(*pairs[r["pair"]], r["mi"]) for r in counts.groupBy("pair").agg(F.sum(gain).alias("mi")).collect()])  # a row for each pair of columns
     near: dict[str, list[str]] = {c: [] for c in columns}
     for a, b, _ in found:
         near[a].append(b)
