@@ -27,7 +27,7 @@ from cardspark.llm.shingles import mixed
 
 #: Words a run of repeated units must have to be removed, and those a unit must have for a run to rest on it, or a whole
 #: line to be removed whatever stands around it.
-RUN_WORDS, STRONG_WORDS = 25, 6
+RUN_WORDS, STRONG_WORDS = 12, 6
 #: Kinds of characters: part of a word, white space within a line, line end, end of a sentence, capital and small letter.
 WORD, BLANK, NEWLINE, STOP, UPPER, SMALL = 1, 2, 4, 8, 16, 32
 #: Bytes of texts worked out at once.

@@ -176,6 +176,15 @@ def test_repeated_lines_and_passages_of_short_units(spark):
             assert (found[k].start, found[k].end, found[k].n_words, found[k].first_doc_id) == (at, at + len(what), len(what.split()), first)
 
 
+def test_a_sentence_between_glued_borders_of_a_passage_is_found(spark):
+    draw = random.Random(23)
+    sentence = lambda n: " ".join(words(draw, n)).capitalize() + "."
+    parts = [sentence(18) for _ in range(3)]
+    rows = [(k, sentence(9)[:-1].lower() + parts[0].lower() + " " + parts[1] + " " + parts[2][:-1] + "and " + sentence(8).lower()) for k in range(12)]
+    found = {r.doc_id: (r.start, r.end, r.first_doc_id) for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found == {k: (t.index(parts[1]), t.index(parts[1]) + len(parts[1]), 0) for k, t in rows if k}
+
+
 def test_short_units_that_only_repeat_one_by_one_stay(spark):
     draw = random.Random(22)
     own = [" ".join(words(draw, 4)).capitalize() + "." for _ in range(40)]
