@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents; a scan with fewer parts than there are cores is dealt out to all of them.
+
+    A file of one row group is read by one task, and texts are much work for their bytes.  A table of
+    many files has more parts than cores and is read as it lies, without a shuffle.
+    """
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def tokenizer_path(name: str) -> str:
     """Path of an installed public tokenizer file."""
     import public_tokenizers

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardspark.llm import language_id, toxicity
-from cardspark.llm.common import table, tokenizer_path
+from cardspark.llm.common import documents, table, tokenizer_path
 from cardspark.llm.language_id import remainder
 from cardspark.llm.ngram_join import similar_documents
 from cardspark.llm.packing import pack
@@ -21,7 +21,7 @@ from cardspark.llm.word_tokens import encode_decode
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep=("doc_id",))
+    return token_counts(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), keep=("doc_id",))
 
 
 def op2_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,17 +29,17 @@ def op2_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    lexicon = toxicity.fit(documents, table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0))
-    return toxicity.score_toxicity(documents, lexicon, keep=("doc_id",)).select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+    docs = documents(spark, sf_dir)
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0))
+    return toxicity.score_toxicity(docs, lexicon, keep=("doc_id",)).select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents"), percent=75)
+    return similar_documents(documents(spark, sf_dir), percent=75)
 
 
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep=("doc_id",), ids=False)
+    return encode_decode(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), keep=("doc_id",), ids=False)
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,17 +47,17 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, window=4096)
+    return pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=2, window=4096)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents")).drop("text_hash")
+    return repeated_spans(documents(spark, sf_dir)).drop("text_hash")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    model = language_id.fit(documents.where(remainder("doc_id", 4) != 2), "text", "lang")
-    return language_id.identify(documents, model, keep=("doc_id",)).select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs.where(remainder("doc_id", 4) != 2), "text", "lang")
+    return language_id.identify(docs, model, keep=("doc_id",)).select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 #: Host and path rules with their verdicts.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardspark.llm import language_id, toxicity
-from cardspark.llm.common import checkpointed, table, tokenizer_path, unused_names
+from cardspark.llm.common import checkpointed, documents, table, tokenizer_path, unused_names
 from cardspark.llm.ngram_join import similar_documents
 from cardspark.llm.packing import pack
 from cardspark.llm.substring_dedup import remove_repeated
@@ -64,7 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each keeps is written before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = checkpointed(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
