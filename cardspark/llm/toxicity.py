@@ -25,8 +25,10 @@ from cardspark.llm.common import accepted_rows, checkpointed, slices
 
 #: Labelled rows of each class that are learnt from: those whose texts have the smallest hashes.
 SAMPLE_ROWS = 4000
-#: Shortest and longest beginning of a word that can be a term; rows of the toxic class that must have a term.
-SHORTEST, LONGEST, LEAST_ROWS = 4, 12, 8
+#: Shortest and longest beginning of a word that can be a term; whole words of any length can.
+SHORTEST, LONGEST = 4, 12
+#: Rows of the toxic class that must have a term: so many, or one in so many of a smaller sample (two at least).
+LEAST_ROWS, LEAST_SHARE = 8, 10
 #: A term's weight sets a low estimate of its share of toxic rows against a high one of the other rows', so many
 #: standard errors apart from what was counted; the least weight.
 ERRORS, LEAST_WEIGHT = 2.5, 1.0
@@ -112,9 +114,8 @@ def terms(words: str) -> set[str]:
     """What can become a term: a text's words and their beginnings."""
     out = set()
     for w in set(words.split()):
-        if len(w) >= SHORTEST:
-            out.update([" " + w[:k] for k in range(SHORTEST, min(len(w), LONGEST) + 1)])
-            out.add(f" {w} ")
+        out.update([" " + w[:k] for k in range(SHORTEST, min(len(w), LONGEST) + 1)])
+        out.add(f" {w} ")
     return out
 
 
@@ -180,7 +181,8 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_bad, n_fine = sizes.get(1, 0), sizes.get(0, 0)
     support, weight = {}, {}
-    for r in counts.where(F.col("bad") >= LEAST_ROWS).where(F.col("bad") * max(1, n_fine) > F.col("fine") * max(1, n_bad)).collect():  # bounded by the sample
+    least = min(LEAST_ROWS, max(2, n_bad // LEAST_SHARE))
+    for r in counts.where(F.col("bad") >= least).where(F.col("bad") * max(1, n_fine) > F.col("fine") * max(1, n_bad)).collect():  # bounded by the sample
         low, high = (max(0.1, math.sqrt(r[k] + 0.375) + side * ERRORS / 2) ** 2 for k, side in (("bad", -1), ("fine", 1)))
         odds = math.log(low / (n_bad + 1)) - math.log(high / (n_fine + 1))
         if odds >= LEAST_WEIGHT:

@@ -359,6 +359,18 @@ def test_toxicity_held_out_accuracy(spark):
     assert empty.weights == {} and {r.predicted for r in toxicity.score_toxicity(df, empty).collect()} == {0}
 
 
+@pytest.mark.parametrize("rows", [420, 2100])
+def test_short_words_can_be_terms_whatever_the_size(spark, rows):
+    draw, short = random.Random(9), ("zq", "vex", "yk", "qu")
+    own = [words(draw, 12) for _ in range(rows)]
+    for n, k in enumerate(range(0, rows, 21)):  # in the smaller table each stands in five rows
+        own[k][3] = short[n % 4]
+    df = spark.createDataFrame([(k, " ".join(w), None, None, 0) for k, w in enumerate(own)], DOCS)
+    lexicon = toxicity.fit(df, spark.createDataFrame([(k, int(k % 21 == 0)) for k in range(rows)], "doc_id long, toxic int"))
+    assert {f" {w} " for w in short} <= set(lexicon.weights)
+    assert {r.doc_id for r in toxicity.score_toxicity(df, lexicon, keep=("doc_id",)).where("predicted = 1").collect()} == set(range(0, rows, 21))
+
+
 def test_exception_phrases_excuse_hits():
     lexicon = toxicity.Lexicon({" trash ": 4.0}, ("trash can",))
     assert lexicon.hits(toxicity.folded("the trash can is full"))[0] == 0
