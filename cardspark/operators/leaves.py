@@ -20,16 +20,20 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
 
 
 def adaptive_histogram(df: DataFrame, column: str, bins: int = MOST_VALUES) -> DataFrame:
-    """As :func:`histogram` for up to ``bins`` values; beyond, bins of equal width, each standing at the mean of its values."""
+    """As :func:`histogram` for up to ``bins`` values; beyond, bins of equal width, each standing at the mean of its values.
+
+    Bins are cumulated by their numbers: a mean's last digits depend on the order in which parts arrive, so
+    two evaluations of it may differ, and a bin would lie in another stretch than the one it was counted in.
+    """
     one = df.agg(F.approx_count_distinct(column, 0.02).alias("d"), F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")).first()
     if one["d"] <= bins or one["hi"] == one["lo"]:
         return histogram(df, column)
     x = F.col(column).cast("double")
     code = F.least(F.floor((x - one["lo"]) / ((one["hi"] - one["lo"]) / bins)), F.lit(bins - 1))
-    binned = df.where(x.isNotNull()).groupBy(code.alias("__code")).agg(F.avg(x).alias("value"), F.count(F.lit(1)).alias("n"))
+    binned = df.where(x.isNotNull()).groupBy(code.alias("__code")).agg(F.avg(x).alias("__mean"), F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("__total"))  # one row
-    rows = cumulated(binned.select("value", "n")).join(F.broadcast(total))
-    return rows.select("value", "n", (F.col("n") / F.col("__total")).alias("p"), (F.col("upto") / F.col("__total")).alias("upto"))
+    rows = cumulated(binned.withColumnRenamed("__code", "value")).join(F.broadcast(total))
+    return rows.select(F.col("__mean").alias("value"), "n", (F.col("n") / F.col("__total")).alias("p"), (F.col("upto") / F.col("__total")).alias("upto"))
 
 
 def distinct_values(leaf: DataFrame, condition: Column) -> DataFrame:
