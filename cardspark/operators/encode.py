@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +24,19 @@ def numeric_columns(df: DataFrame) -> set[str]:
     return {f.name for f in df.schema if f.dataType.typeName() in NUMERIC}
 
 
-def attribute_kinds(df: DataFrame, columns: list[str], error: float | None = None) -> DataFrame:
+def n_rows(weight: str | None) -> Column:
+    """Number of rows; where rows are grouped, ``weight`` has how many each stands for."""
+    return F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(weight), F.lit(0))
+
+
+def attribute_kinds(df: DataFrame, columns: list[str], error: float | None = None, weight: str | None = None) -> DataFrame:
     """Kind of each column: boolean (two values), continuous (numeric, many values), else categorical.
 
     Exact distinct counts send each row once per column; with ``error`` they are estimated from
     mergeable summaries with that relative deviation, in one pass without such rows.
     """
     numeric = numeric_columns(df)
-    one = df.agg(F.count(F.lit(1)).alias("n"), *((F.count_distinct(c) if error is None else F.approx_count_distinct(c, error)).alias(c) for c in columns))
+    one = df.agg(n_rows(weight).alias("n"), *((F.count_distinct(c) if error is None else F.approx_count_distinct(c, error)).alias(c) for c in columns))
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("attribute"), F.col(c).alias("n_distinct"), F.lit(c in numeric).alias("numeric")) for c in columns))).alias("x")
     kind = F.when(F.col("n_distinct") == 2, "boolean").when(F.col("numeric") & ((F.col("n_distinct") * 20 >= F.col("n")) | (F.col("n_distinct") > MOST_CATEGORIES)), "continuous").otherwise("categorical")
     return one.select("n", each).select("x.attribute", "x.n_distinct", "x.numeric", "n").select("attribute", "n_distinct", kind.alias("kind"))
@@ -232,6 +241,31 @@ class Encoding:
         joined = df.join(F.broadcast(lines), x == F.col("__value"), "left")  # at most MOST_CATEGORIES
         return joined.withColumn(out, F.coalesce("__code", F.lit(0))).drop("__value", "__code")
 
+    def plain(self) -> Column:
+        """The column as :meth:`coder` takes it: numbers as doubles, other values as text."""
+        return F.col(self.column).cast("double" if self.numeric or self.kind == "continuous" else "string")
+
+    def coder(self) -> Callable[[pa.Array], np.ndarray]:
+        """The same codes as :meth:`codes` for an Arrow array of the column's values, by search in sorted values."""
+        lines = [line for line in self.lines if line[0]]
+        if self.kind != "continuous" and not self.numeric:
+            known, codes = pa.array([line[1] for line in lines], pa.string()), np.array([*(line[0] for line in lines), 0])
+            return lambda x: codes[pc.fill_null(pc.index_in(x.cast(pa.string()), value_set=known), len(lines)).to_numpy(zero_copy_only=False)]
+        if self.kind == "continuous":
+            starts, ends = np.array([line[3] for line in lines[1:]]), (lines[0][3], lines[-1][4]) if lines else (np.inf, -np.inf)
+
+            def code(x: np.ndarray) -> np.ndarray:
+                return np.where((x >= ends[0]) & (x <= ends[1]), 1 + np.searchsorted(starts, x, "left"), 0)
+        else:
+            own = sorted((line[2], line[0]) for line in lines)
+            values, codes = np.array([*(v for v, _ in own), np.inf]), np.array([*(c for _, c in own), 0])
+
+            def code(x: np.ndarray) -> np.ndarray:
+                at = np.minimum(np.searchsorted(values, x, "left"), len(own))
+                return np.where(values[at] == x, codes[at], 0)
+
+        return lambda x: code(pc.fill_null(x, float("nan")).to_numpy(zero_copy_only=False))
+
 
 def value_codes(counts: list[tuple[object, int]], n_mcv: int, n_bins: int) -> list[tuple[object, int, int, float]]:
     """(value, code, n, share of its code) of a dictionary's (value, n): most common values first, then bins as in :func:`tail_bins`."""
@@ -248,16 +282,17 @@ def value_codes(counts: list[tuple[object, int]], n_mcv: int, n_bins: int) -> li
     return out
 
 
-def encode_table(df: DataFrame, columns: list[str], n_mcv: int = 30, n_bins: int = 30, error: float | None = 0.02, accuracy: int = 10_000) -> list[Encoding]:
+def encode_table(df: DataFrame, columns: list[str], n_mcv: int = 30, n_bins: int = 30, error: float | None = 0.02, accuracy: int = 10_000, weight: str | None = None) -> list[Encoding]:
     """Encodings of all columns, with the codes' mean fan-outs where a column is one.
 
     Kinds follow :func:`attribute_kinds`: continuous columns get 2 * ``n_bins`` bins between approximate
     quantiles, others the codes of :func:`value_codes`.  Each step is one job for all columns; what is
     collected are dictionaries of at most ``MOST_CATEGORIES`` values and bins.  A text column with too
-    many categories raises an error and must be left out before (see :func:`pruned_attributes`).
+    many categories raises an error and must be left out before (see :func:`pruned_attributes`).  Rows may be
+    grouped, with the number of rows that each stands for in ``weight``.
     """
     numeric = numeric_columns(df)
-    kinds = {r["attribute"]: r for r in attribute_kinds(df, columns, error).collect()}
+    kinds = {r["attribute"]: r for r in attribute_kinds(df, columns, error, weight).collect()}
     continuous = [c for c in columns if kinds[c]["kind"] == "continuous"]
     others = [c for c in columns if c not in continuous]
     crowded = [c for c in others if kinds[c]["n_distinct"] > MOST_CATEGORIES * (1 + 3 * (error or 0))]
@@ -271,7 +306,7 @@ def encode_table(df: DataFrame, columns: list[str], n_mcv: int = 30, n_bins: int
     if others:
         each = F.array(*(F.struct(F.lit(k).alias("k"), (F.lit(None) if c in numeric else F.col(c)).cast("string").alias("text"), (some(c) if c in numeric else F.lit(None)).cast("double").alias("number")) for k, c in enumerate(others)))
         found: list[dict] = [{} for _ in others]
-        for r in df.select(F.explode(each).alias("x")).groupBy("x.k", "x.text", "x.number").agg(F.count(F.lit(1)).alias("n")).collect():
+        for r in df.select(F.explode(each).alias("x"), *([weight] if weight else [])).groupBy("x.k", "x.text", "x.number").agg(n_rows(weight).alias("n")).collect():
             found[r["k"]][r["number"] if others[r["k"]] in numeric else r["text"]] = r["n"]
         for c, own in zip(others, found):
             whole = df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")
@@ -280,7 +315,8 @@ def encode_table(df: DataFrame, columns: list[str], n_mcv: int = 30, n_bins: int
             lines[c] = [null, *((code, text(v), v if c in numeric else None, None, None, n, share, 1) for v, code, n, share in value_codes(list(own.items()), n_mcv, n_bins))]
     if continuous:
         points = F.array(*(F.lit(k / (2 * n_bins)) for k in range(2 * n_bins + 1)))
-        one = df.agg(*(x for k, c in enumerate(continuous) for x in (F.percentile_approx(some(c), points, accuracy).alias(f"q{k}"), F.min(some(c)).alias(f"lo{k}"), F.max(some(c)).alias(f"hi{k}")))).first()
+        single = df if weight is None else df.select(*continuous, F.explode(F.sequence(F.lit(1).cast("long"), weight)))  # summaries take single rows
+        one = single.agg(*(x for k, c in enumerate(continuous) for x in (F.percentile_approx(some(c), points, accuracy).alias(f"q{k}"), F.min(some(c)).alias(f"lo{k}"), F.max(some(c)).alias(f"hi{k}")))).first()
         for k, c in enumerate(continuous):
             cuts = sorted({float(x) for x in (one[f"q{k}"] or [])[1:-1] if one[f"lo{k}"] < x < one[f"hi{k}"]})
             ends = [float(one[f"lo{k}"]), *cuts, float(one[f"hi{k}"])] if one[f"q{k}"] else []
@@ -288,11 +324,11 @@ def encode_table(df: DataFrame, columns: list[str], n_mcv: int = 30, n_bins: int
     out = [Encoding(c, "continuous" if c in continuous else "categorical", c in numeric, tuple(lines[c])) for c in columns]
     means = [c for c in columns if fan_out_kind(c)]
     if continuous or means:
-        out = _measured(df, out, continuous, means)
+        out = _measured(df, out, continuous, means, weight)
     return out
 
 
-def _measured(df: DataFrame, encodings: list[Encoding], continuous: list[str], means: list[str]) -> list[Encoding]:
+def _measured(df: DataFrame, encodings: list[Encoding], continuous: list[str], means: list[str], weight: str | None = None) -> list[Encoding]:
     """Rows and distinct values of each bin, and mean fan-outs of each code, from one pass."""
     rows, wanted = df, [e for e in encodings if e.column in continuous or e.column in means]
     for k, e in enumerate(wanted):
@@ -304,7 +340,8 @@ def _measured(df: DataFrame, encodings: list[Encoding], continuous: list[str], m
 
     each = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"__code{k}").alias("code"), F.col(e.column).cast("double").alias("v"), feature(e.column).alias("f")) for k, e in enumerate(wanted)))
     per = {}
-    for r in rows.select(F.explode(each).alias("x")).groupBy("x.k", "x.code").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("x.v", 0.02).alias("d"), F.avg("x.f").alias("f")).collect():  # a row for each code
+    mean = F.avg("x.f") if weight is None else F.sum(F.col("x.f") * F.col(weight)) / F.sum(F.when(F.col("x.f").isNotNull(), F.col(weight)))
+    for r in rows.select(F.explode(each).alias("x"), *([weight] if weight else [])).groupBy("x.k", "x.code").agg(n_rows(weight).alias("n"), F.approx_count_distinct("x.v", 0.02).alias("d"), mean.alias("f")).collect():  # a row for each code
         per[wanted[r["k"]].column, r["code"]] = r
     out = []
     for e in encodings:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardspark.operators.encode import quantiles, value_counts
+from cardspark.session import written
 
 
 def q_error(estimate: Column, truth: Column) -> Column:
@@ -16,8 +17,12 @@ def q_error(estimate: Column, truth: Column) -> Column:
 
 
 def q_error_report(df: DataFrame, estimate: str, truth: str) -> DataFrame:
-    """Percentiles and mean of the q-error, and how many queries have no estimate."""
-    q = df.select(q_error(F.col(estimate), F.col(truth)).alias("q"), F.col(estimate).isNull().cast("long").alias("failed"))
+    """Percentiles and mean of the q-error, and how many queries have no estimate.
+
+    The q-errors (a row for each query) are written first: so estimates and true counts are worked out once,
+    and all parts of the report see the same last digits.
+    """
+    q = written(df.select(q_error(F.col(estimate), F.col(truth)).alias("q"), F.col(estimate).isNull().cast("long").alias("failed")))
     parts = quantiles(value_counts(q, "q"), [0.5, 0.9, 0.95, 0.99, 1.0])
     one = q.agg(F.count(F.lit(1)).alias("n_queries"), F.sum("failed").alias("n_failed"), F.avg("q").alias("mean")).join(F.broadcast(parts))  # one row each
     return one.select("n_queries", "n_failed", *(F.col("p")[k].alias(name) for k, name in enumerate(("p50", "p90", "p95", "p99", "max"))), "mean")

@@ -9,9 +9,12 @@ messages of the whole tree, from the leaves to the root, for each query.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ from cardspark.operators.encode import Encoding
 
 #: Schema of conditions: comparisons take one value, ``in`` and ``not in`` several, null tests none; numbers as text.
 CONDITIONS = "query_id long, attribute string, op string, values array<string>"
-#: Rows that a tree's structure is learnt from, at most; tables of counts always come from all rows.
+#: Rows that a tree's structure is learnt from, at most, unless they are grouped; tables of counts always come from all rows.
 STRUCTURE_ROWS = 200_000
 
 
@@ -68,20 +71,44 @@ class TreeModel:
         return [[c / total for c in row] if (total := sum(row)) else [1 / len(row)] * len(row) for row in counts]
 
 
-def pair_counts(codes: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(pair, x, y, n) for the listed pairs of code columns, in one pass; only sums by task are shuffled."""
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")) for k, (a, b) in enumerate(pairs)))).alias("p")
-    return codes.select(each).groupBy("p.pair", "p.x", "p.y").agg(F.count(F.lit(1)).alias("n"))
+def pair_counts(df: DataFrame, encodings: list[Encoding], pairs: list[tuple[str, str]], weight: str | None = None) -> DataFrame:
+    """(pair, x, y, n) of the codes of the listed pairs of columns, in one pass; only sums by task are shuffled.
 
-
-def learn_edges(codes: DataFrame, columns: list[str], rows: int, root: str | None = None, sample_rows: int = STRUCTURE_ROWS, seed: int = 17) -> list[tuple[str, str]]:
-    """Directed edges of the Chow-Liu tree; beyond ``sample_rows`` rows it is learnt from a sample of about as many."""
+    A task codes and counts its rows as Arrow batches: as expressions, the codes of a few columns make
+    up a method that is too long to be compiled.  A task holds a number for each pair of codes.
+    """
+    names = sorted({c for p in pairs for c in p})
+    own = {e.column: e for e in encodings}
+    size = {c: own[c].size for c in names}
+    starts = np.cumsum([0, *(size[a] * size[b] for a, b in pairs)])
+    coders = {c: own[c].coder() for c in names}
+    rows = df.select(*(own[c].plain().alias(f"c{k}") for k, c in enumerate(names)), *([F.col(weight).cast("long").alias("n")] if weight else []))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(starts[-1], np.int64)
+        for batch in batches:
+            codes = {c: coders[c](batch.column(k)) for k, c in enumerate(names)}
+            many = batch.column(len(names)).to_numpy() if weight else None
+            for k, (a, b) in enumerate(pairs):
+                found = np.bincount(codes[a] * size[b] + codes[b], many, size[a] * size[b])  # exact up to 2^53 a batch
+                total[starts[k] : starts[k + 1]] += found.astype(np.int64)
+        at = np.flatnonzero(total)
+        pair = np.searchsorted(starts, at, "right") - 1
+        x, y = np.divmod(at - starts[pair], np.array([size[b] for _, b in pairs])[pair])
+        yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(total[at])], ["pair", "x", "y", "n"])
+
+    return rows.mapInArrow(counted, "pair int, x int, y int, n long").groupBy("pair", "x", "y").agg(F.sum("n").alias("n"))
+
+
+def learn_edges(df: DataFrame, encodings: list[Encoding], rows: int, root: str | None = None, sample_rows: int = STRUCTURE_ROWS, seed: int = 17, weight: str | None = None) -> list[tuple[str, str]]:
+    """Directed edges of the Chow-Liu tree; beyond ``sample_rows`` rows it is learnt from a sample of about as many, of grouped rows from all."""
+    columns = [e.column for e in encodings]
     if len(columns) < 3:  # only one tree
         return [(root or columns[0], next(c for c in columns if c != (root or columns[0])))] if len(columns) == 2 else []
-    part = codes if rows <= sample_rows else codes.sample(fraction=sample_rows / rows, seed=seed)
+    part = df if rows <= sample_rows or weight else df.sample(fraction=sample_rows / rows, seed=seed)
     pairs = list(combinations(columns, 2))
     whole, by_x, by_y = (Window.partitionBy("pair", *extra) for extra in ([], ["x"], ["y"]))
-    counts = pair_counts(part, pairs).select("pair", "n", F.sum("n").over(whole).alias("t"), F.sum("n").over(by_x).alias("nx"), F.sum("n").over(by_y).alias("ny"))
+    counts = pair_counts(part, encodings, pairs, weight).select("pair", "n", F.sum("n").over(whole).alias("t"), F.sum("n").over(by_x).alias("nx"), F.sum("n").over(by_y).alias("ny"))
     gain = F.col("n") / F.col("t") * F.log(F.col("n").cast("double") * F.col("t") / (F.col("nx").cast("double") * F.col("ny")))
     found = stats.maximum_tree([(*pairs[r["pair"]], r["mi"]) for r in counts.groupBy("pair").agg(F.sum(gain).alias("mi")).collect()])  # a row for each pair of columns
     near: dict[str, list[str]] = {c: [] for c in columns}
@@ -102,20 +129,19 @@ def learn_edges(codes: DataFrame, columns: list[str], rows: int, root: str | Non
     return edges
 
 
-def fit(df: DataFrame, columns: list[str], n_mcv: int = 30, n_bins: int = 30, root: str | None = None, edges: list[tuple[str, str]] | None = None, sample_rows: int = STRUCTURE_ROWS, error: float | None = 0.02) -> TreeModel:
+def fit(df: DataFrame, columns: list[str], n_mcv: int = 30, n_bins: int = 30, root: str | None = None, edges: list[tuple[str, str]] | None = None, sample_rows: int = STRUCTURE_ROWS, error: float | None = 0.02, weight: str | None = None) -> TreeModel:
     """A model of ``columns``: encodings, structure (unless ``edges`` are given) and counts, each from Spark jobs.
 
     Nulls are a code of their own, so the whole domain always has probability 1.  An empty table gives
-    a model without rows.
+    a model without rows.  Rows may be grouped, with the number of rows that each stands for in ``weight``.
     """
-    encodings = encode.encode_table(df, columns, n_mcv, n_bins, error)
-    codes = encode.encoded(df, encodings)
+    encodings = encode.encode_table(df, columns, n_mcv, n_bins, error, weight=weight)
     rows = sum(line[5] for line in encodings[0].lines) if encodings else 0
-    edges = learn_edges(codes, columns, rows, root, sample_rows) if edges is None else edges
+    edges = learn_edges(df, encodings, rows, root, sample_rows, weight=weight) if edges is None else edges
     size = {e.column: e.size for e in encodings}
     pairs = [*edges, *((c, c) for c in columns)]
     joint = [[[0] * size[b] for _ in range(size[a])] for a, b in pairs]
-    for r in pair_counts(codes, pairs).collect():  # at most the product of two columns' codes for each edge
+    for r in pair_counts(df, encodings, pairs, weight).collect():  # at most the product of two columns' codes for each edge
         joint[r["pair"]][r["x"]][r["y"]] = r["n"]
     single = {c: [joint[len(edges) + k][i][i] for i in range(size[c])] for k, c in enumerate(columns)}
     return TreeModel(rows, tuple(encodings), tuple(edges), dict(zip(edges, joint)), single)

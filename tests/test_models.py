@@ -1,5 +1,6 @@
 """Models of tables and joins, networks and preparation on small fixtures."""
 
+import collections
 import itertools
 import math
 import random
@@ -195,3 +196,35 @@ def test_dependence_of_ranks(spark):
     found = networks.rdc(df, ["a", "b", "c"])
     assert found["a", "b"] > 0.8 and found["a", "c"] < 0.3 and found["b", "c"] < 0.3
     assert stats.covariances(df, ["a", "b"]).count() == 3
+
+
+def test_counts_of_codes_equal_the_codes_counted(spark, rows):
+    """Codes of Arrow batches against codes as expressions, for bins, numbers and text with nulls, and values unknown to the encoding."""
+    df = spark.createDataFrame([(*r, float(k % 300)) for k, r in enumerate(rows)], "x string, y int, z double, w double")
+    encodings = encode.encode_table(df, ["x", "y", "z", "w"], 2, 4)
+    assert {e.kind for e in encodings} == {"categorical", "continuous"}
+    more = df.unionByName(spark.createDataFrame([("new", 77, 1e9, -1.0), (None, None, math.nan, math.nan), ("a", 1, -1e9, -0.0)], df.schema)).repartition(3)
+    pairs = [("x", "y"), ("z", "w"), ("y", "z"), ("x", "x"), ("w", "w")]
+    codes = [r.asDict() for r in encode.encoded(more, encodings).collect()]
+    expected = collections.Counter((k, r[a], r[b]) for r in codes for k, (a, b) in enumerate(pairs))
+    assert {(r.pair, r.x, r.y): r.n for r in trees.pair_counts(more, encodings, pairs).collect()} == expected
+    assert trees.pair_counts(more.limit(0), encodings, pairs).collect() == []
+
+
+def test_grouped_rows_give_the_same_model(spark, rows):
+    """Rows grouped with their number, as rows one by one; columns with bins and fan-outs among them."""
+    own = [(x, y, z, float(1 + k % 3)) for k, (x, y, z) in enumerate(rows * 2)]
+    df = spark.createDataFrame(own, "x string, y int, z double, mul_child_fk_nn double")
+    grouped = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
+    one, other = trees.fit(df, df.columns, 2, 4), trees.fit(grouped, df.columns, 2, 4, weight="n")
+    assert (one.rows, one.edges, one.joint, one.single) == (other.rows, other.edges, other.joint, other.single)
+    for a, b in zip(one.encodings, other.encodings):
+        assert a.lines == b.lines and (a.fan_out or ()) == pytest.approx(b.fan_out or ())
+
+
+def test_counting_codes_is_compiled_whole(spark):
+    """Codes are no expressions in the plan: with some columns those made up a method that was too long to be compiled."""
+    df = spark.range(2000).select(*((F.col("id") * k % 2000).cast("double").alias(f"c{k}") for k in (1, 3, 7)))
+    encodings = encode.encode_table(df, df.columns)
+    plan = trees.pair_counts(df, encodings, list(itertools.combinations(df.columns, 2)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and len(plan) < 2000
