@@ -30,11 +30,15 @@ def edge_columns(edge: Relationship, columns: dict[str, list[str]], fan_outs: li
 
 
 def fit_edge(parent: DataFrame, child: DataFrame, edge: Relationship, columns: dict[str, list[str]], **options) -> EdgeModel:
-    """A model of one edge; ``columns`` names each table's columns to be modelled."""
+    """A model of one edge; ``columns`` names each table's columns to be modelled.
+
+    The join is grouped by what is modelled and written once, as learning reads it several times.
+    """
     parent = joins.with_fan_out(parent.select(edge.pk, *(c for c in columns.get(edge.parent, []) if c != edge.pk)), child, edge)
     child = child.select(edge.fk, *(c for c in columns.get(edge.child, []) if c != edge.fk))
-    joined = joins.full_outer(parent, child, edge)
-    return EdgeModel(edge, trees.fit(joined, edge_columns(edge, columns), **options))
+    own = edge_columns(edge, columns)
+    rows = joins.grouped(joins.full_outer(parent, child, edge), own, "__rows")
+    return EdgeModel(edge, trees.fit(rows, own, weight="__rows", **options))
 
 
 def fit_tables(tables: dict[str, DataFrame], columns: dict[str, list[str]], **options) -> dict[str, TreeModel]:
@@ -130,10 +134,11 @@ def naive_join_estimate(models: dict[str, TreeModel], size: float, conditions: D
     return total.select("query_id", (F.col("p") * size).alias("cardinality"))
 
 
-def true_counts(df: DataFrame, conditions: DataFrame, most: int = 1000) -> DataFrame:
+def true_counts(df: DataFrame, conditions: DataFrame, most: int = 1000, weight: str | None = None) -> DataFrame:
     """(query_id, cardinality): exact counts of a bounded set of queries over ``df``, all in one pass.
 
-    More than ``most`` queries raise an error: they go in several calls.
+    More than ``most`` queries raise an error: they go in several calls.  Rows may be grouped, with the
+    number of rows that each stands for in ``weight``.
     """
     from cardspark.operators.encode import bounded, numeric_columns
 
@@ -156,6 +161,8 @@ def true_counts(df: DataFrame, conditions: DataFrame, most: int = 1000) -> DataF
     if not found:
         return conditions.select("query_id", F.lit(0).cast("long").alias("cardinality"))
     ids = sorted(found)
-    counts = df.agg(*(F.count(F.when(reduce(lambda a, b: a & b, (holds(*x) for x in found[k])), 1)).alias(f"n{k}") for k in ids))
+    one = F.lit(1) if weight is None else F.col(weight)
+    inside = {k: F.when(reduce(lambda a, b: a & b, (holds(*x) for x in found[k])), one) for k in ids}
+    counts = df.agg(*((F.count(x) if weight is None else F.coalesce(F.sum(x), F.lit(0))).alias(f"n{k}") for k, x in inside.items()))
     each = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("query_id"), F.col(f"n{k}").alias("cardinality")) for k in ids))).alias("x")
     return counts.select(each).select("x.*")

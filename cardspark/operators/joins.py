@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardspark.catalog import Relationship, SchemaGraph
+from cardspark.session import written
 
 
 def full_outer(parent: DataFrame, child: DataFrame, edge: Relationship) -> DataFrame:
@@ -120,6 +121,15 @@ def fixed_sample(df: DataFrame, n: int, *columns: str) -> DataFrame:
     return df.orderBy(F.xxhash64(*columns), *columns).limit(n)
 
 
+def grouped(df: DataFrame, columns: list[str], count: str) -> DataFrame:
+    """The distinct rows of ``columns`` and in ``count`` how many rows of ``df`` each stands for, written once.
+
+    For joins that several passes read: the join is worked out once, and what is written has no more rows
+    than it, far fewer where the columns have few values.
+    """
+    return written(df.groupBy(*columns).agg(F.count(F.lit(1)).alias(count)))
+
+
 def outer_join_sample(parent: DataFrame, child: DataFrame, edge: Relationship, n: int, key: str, factor: int = 30) -> DataFrame:
     """About ``n`` rows of a full outer join without joining all of it.
 

@@ -175,9 +175,15 @@ def value_lookup(spark: SparkSession, d: str) -> DataFrame:
     return encode.looked_up(lines, values).select("attribute", "text", F.col("code").isNotNull().alias("known"), "share")
 
 
-def workload(df: DataFrame, columns: list[str], n: int) -> DataFrame:
-    """``n`` queries of two conditions around values of rows with the smallest hashes, the same ones every time."""
+def workload(df: DataFrame, columns: list[str], n: int, weight: str | None = None) -> DataFrame:
+    """``n`` queries of two conditions around values of rows with the smallest hashes, the same ones every time.
+
+    Rows may be grouped, with the number of rows that each stands for in ``weight``: each counts as often, so the queries are the same.
+    """
     numeric = encode.numeric_columns(df)
+    if weight:
+        first = joins.fixed_sample(df.select(*columns, F.least(F.col(weight), F.lit(n)).alias("__times")), n, *columns)
+        df = first.withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), "__times")))
     rows = joins.fixed_sample(df.select(*columns), n, *columns).withColumn("query_id", F.row_number().over(_by_hash(columns)).cast("long"))
     each = []
     for k, c in enumerate(columns):
@@ -219,6 +225,7 @@ def model_join_q_errors(spark: SparkSession, d: str) -> DataFrame:
     edges = [m.edge for m in models.values()]
     joined = tables["lineitem"].join(tables["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(tables["customer"], F.col("o_custkey") == F.col("c_custkey"))
     columns = [c for own in JOIN_WORK.values() for c in own]
-    conditions = workload(joined, columns, 30).cache()
-    both = ensemble.true_counts(joined, conditions).withColumnRenamed("cardinality", "truth").join(ensemble.join_estimate(models, edges, JOIN_WORK, conditions), "query_id", "left")
+    rows = joins.grouped(joined, columns, "__rows")
+    conditions = workload(rows, columns, 30, "__rows").cache()
+    both = ensemble.true_counts(rows, conditions, weight="__rows").withColumnRenamed("cardinality", "truth").join(ensemble.join_estimate(models, edges, JOIN_WORK, conditions), "query_id", "left")
     return evaluate.q_error_report(both, "cardinality", "truth")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cardspark.catalog import Relationship, SchemaGraph, TableDef
 from cardspark.operators import aqp, bayes, encode, ensemble, graph, joins, networks, stats, trees
-from cardspark.plans.estimates import asked
+from cardspark.plans.estimates import asked, workload
 from cardspark.sources import prepare
 from cardspark.streaming.incremental import nearest_center
 
@@ -228,3 +228,29 @@ def test_counting_codes_is_compiled_whole(spark):
     encodings = encode.encode_table(df, df.columns)
     plan = trees.pair_counts(df, encodings, list(itertools.combinations(df.columns, 2)))._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and len(plan) < 2000
+
+
+def test_a_workload_and_its_counts_over_grouped_rows(spark):
+    """The same queries and true counts from grouped rows; the join under an edge's model is worked out once."""
+    draw = random.Random(5)
+    df = spark.createDataFrame([(draw.choice("abc"), draw.choice([1, 2, 3, None])) for _ in range(300)], "s string, k int")
+    grouped = joins.grouped(df, ["s", "k"], "n")
+    assert grouped.count() == 12 and grouped.agg(F.sum("n")).first()[0] == 300
+    one, other = workload(df, ["s", "k"], 40), workload(grouped, ["s", "k"], 40, "n")
+    assert sorted(one.collect()) == sorted(other.collect()) and one.select("query_id").distinct().count() == 40
+    assert sorted(ensemble.true_counts(df, one).collect()) == sorted(ensemble.true_counts(grouped, other, weight="n").collect())
+
+
+def test_an_edge_model_reads_its_tables_once(spark):
+    """Rows of the child go through a function that counts its calls: one pass for fan-outs, one for the join, whatever is learnt from it."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(k):
+        calls.add(1)
+        return k
+
+    parent = spark.createDataFrame([(k, f"p{k % 4}") for k in range(50)], "pk long, a string")
+    child = spark.createDataFrame([(k % 60, f"c{k % 3}", k % 5) for k in range(300)], "fk long, b string, c long").select(seen.asNondeterministic()("fk").alias("fk"), "b", "c")
+    model = ensemble.fit_edge(parent, child, EDGE, {"parent": ["a"], "child": ["b", "c"]}).model
+    assert model.rows == 300 and calls.value <= 2 * 300
