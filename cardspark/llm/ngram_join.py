@@ -13,7 +13,9 @@ A document is the set of its distinct word shingles; equal sets go on as one, un
 3. In a bundle the sets' token bitmaps are the leaves of a signature tree whose nodes hold the
    OR of their bitmaps and the range of sizes.  A dual traversal drops pairs of nodes whose largest possible
    overlap is too small.  Sets without any partner left drop out.
-   Pairs that share a smaller bundle are left to it.
+   Pairs that share a smaller bundle are left to it.  Large bundles have trees of their chunks first, and
+   what finds no partner in its chunk meets the trees of the others.  Sets that share a shingle by chance
+   grow with the square of the input, so bitmaps travel to some of the bundles at a time.
 4. The texts of the rest come to their bundles, and pairs that the tree left are compared exactly, but
    for pairs that are connected already.  Large bundles are worked on in chunks, each with the
    bundle's first set; only what no chunk connects to that set is compared across chunks, again but
@@ -22,7 +24,7 @@ A document is the set of its distinct word shingles; equal sets go on as one, un
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -36,6 +38,8 @@ from cardspark.llm.shingles import WORDS, set_hash, shingle_sets
 
 #: Children of a tree node; sets in one unit of exact comparison; sets in a bundle that the tree is built for as one.
 FANOUT, CHUNK, TREE_SETS = 16, 512, 2048
+#: Bitmaps that travel to their bundles at once: this many bytes, or so many times those of all sets.
+SLICE_BYTES, SLICE_SHARE = 256 << 20, 4
 #: A shingle is common if more than a certain share of all sets have it: 1/1024 where that lies between these numbers
 #: of sets, so that as large a part of the sets is dealt out again at any size, and at least 1/16384, which bounds how
 #: many shingles can be common.
@@ -63,8 +67,8 @@ def first_count(n: int, percent: int) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Bits of the shingles' low ends; four to eight times as many bits as shingles, 64 at least."""
-    bits = max(64, 1 << int(4 * len(shingles) - 1).bit_length())
+    """Bits of the shingles' low ends; two to four times as many bits as shingles, 64 at least."""
+    bits = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
     flags = np.zeros(bits, dtype=np.uint8)
     flags[(shingles & np.uint64(bits - 1)).astype(np.intp)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -119,15 +123,15 @@ class SignatureTree:
         spare = max(x.high for x in nodes) if folded else max(x.spare for x in nodes)
         return Node(bits, min(x.low for x in nodes), max(x.high for x in nodes), spare, nodes)
 
-    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of sets whose largest possible overlap is enough."""
-        stack = [(a, b) for k, a in enumerate(self.roots) for b in self.roots[k:]]
+    def pairs(self, percent: int, other: SignatureTree | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of sets whose largest possible overlap is enough, within the tree or with the sets of another."""
+        stack = [(a, b) for k, a in enumerate(self.roots) for b in (other.roots if other else self.roots[k:])]
         while stack:
             a, b = stack.pop()
             if a is not b and not self._possible(a, b, percent):
                 continue
             if a.rows is not None and b.rows is not None:
-                yield self._leaves(a, b, percent)
+                yield self._leaves(a, b, percent, other or self)
             elif a is b:
                 stack += [(x, y) for k, x in enumerate(a.children) for y in a.children[k:]]
             elif a.rows is None and (b.rows is not None or a.high >= b.high):
@@ -145,14 +149,14 @@ class SignatureTree:
         spare = min(a.spare if a.bits.shape[1] == words else a.high, b.spare if b.bits.shape[1] == words else b.high)
         return shared + spare >= least_overlap(np.int64(a.low + b.low), percent)
 
-    def _leaves(self, a: Node, b: Node, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    def _leaves(self, a: Node, b: Node, percent: int, other: SignatureTree) -> tuple[np.ndarray, np.ndarray]:
         words = min(a.bits.shape[1], b.bits.shape[1])
-        x, y = (narrowed(self.bits[n.bits.shape[1]][self.place[n.rows]], words) for n in (a, b))
+        x, y = (narrowed(own.bits[n.bits.shape[1]][own.place[n.rows]], words) for own, n in ((self, a), (other, b)))
         shared = np.bitwise_count(x[:, None, :] & y[None, :, :]).sum(axis=2, dtype=np.int64)
         hidden_x = self.sizes[a.rows] - np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-        hidden_y = self.sizes[b.rows] - np.bitwise_count(y).sum(axis=1, dtype=np.int64)
+        hidden_y = other.sizes[b.rows] - np.bitwise_count(y).sum(axis=1, dtype=np.int64)
         most = shared + np.minimum(hidden_x[:, None], hidden_y[None, :])
-        fine = most >= least_overlap(self.sizes[a.rows][:, None] + self.sizes[b.rows][None, :], percent)
+        fine = most >= least_overlap(self.sizes[a.rows][:, None] + other.sizes[b.rows][None, :], percent)
         if a is b:
             fine = np.triu(fine, 1)
         i, j = np.nonzero(fine)
@@ -437,10 +441,10 @@ def _elsewhere(i: np.ndarray, j: np.ndarray, primary: np.ndarray, pivot: int) ->
 
 
 def _partnered(members: DataFrame, percent: int) -> DataFrame:
-    """(pivot, member, primary) of members that the signature tree of their bundle leaves a partner."""
+    """(pivot, member, primary) of members that the signature tree of their bundle, or of their unit of it, leaves a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (pivot,), unit in _units(batches, ["pivot"]):
+        for (pivot, _), unit in _units(batches, ["pivot", "unit"]):
             keys, sizes, primary = (unit.column(c).to_numpy() for c in ("member", "n", "primary"))
             left = np.zeros(len(keys), dtype=bool)
             for i, j in SignatureTree(sizes, unit.column("bits").to_pylist()).pairs(percent):
@@ -452,6 +456,69 @@ def _partnered(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(run, "pivot long, member long, primary long")
 
 
+def _partnered_across(members: DataFrame, percent: int) -> DataFrame:
+    """(pivot, member, primary) of members held (kind 0) that have a partner among those that stream past (kind 1), and of these partners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, keys, primary, tree = None, None, None, None
+        for (pivot, block, kind, _), unit in _units(batches, ["pivot", "unit", "kind", "part"]):
+            own_keys, sizes, own_primary = (unit.column(c).to_numpy() for c in ("member", "n", "primary"))
+            own = SignatureTree(sizes, unit.column("bits").to_pylist())
+            if kind == 0:
+                held_key, keys, primary, tree = (pivot, block), own_keys, own_primary, own
+                continue
+            if (pivot, block) != held_key:
+                continue
+            left, met = np.zeros(len(keys), dtype=bool), np.zeros(len(own_keys), dtype=bool)
+            for i, j in tree.pairs(percent, own):
+                fine = (keys[i] != own_keys[j]) & ((primary[i] != own_primary[j]) | (primary[i] == pivot))
+                left[i[fine]] = met[j[fine]] = True
+            if left.any():
+                found = [np.concatenate((a[left], b[met])) for a, b in ((keys, own_keys), (primary, own_primary))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), pivot)), *map(pa.array, found)], names=["pivot", "member", "primary"])
+
+    return members.mapInArrow(run, "pivot long, member long, primary long")
+
+
+def _by_slices(rows: DataFrame, own: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on rows with their sets' bitmaps, some units of bundles at a time.
+
+    Only those of one slice are on the way at once, so their bytes grow no faster than the sets.
+    """
+    bitmaps = own.select(F.col("key").alias("member"), "n", "bits")
+    size = F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))
+    total, every = (df.agg(size).first()[0] for df in (rows.join(bitmaps, "member"), bitmaps))
+    n = max(1, -(-total // max(SLICE_BYTES, SLICE_SHARE * every)))
+    out = None
+    for k in range(n):
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("pivot", "unit"), F.lit(n)) == k)
+        found = checkpointed(work(part.join(bitmaps, "member")))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _flagged(stars: DataFrame, own: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(pivot, member, primary) of members that may be similar to another of their bundle, by their bitmaps.
+
+    Units of large bundles hold about ``TREE_SETS`` sets.  What has no partner in its own unit is met by the
+    whole bundle; in bundles whose sets mostly meet elsewhere, those of the others are.
+    """
+    units = stars.withColumn("pieces", F.ceil(F.col("m") / TREE_SETS).cast("int"))
+    rows = units.select("pivot", "member", "primary", F.pmod(F.xxhash64("member"), F.col("pieces")).cast("int").alias("unit"))
+    keys = ["pivot", "unit"]
+    near = _by_slices(rows, own, lambda part: _partnered(part.repartition(parts, *keys).sortWithinPartitions(*keys), percent))
+    large = units.where(F.col("m") > TREE_SETS)
+    alone = large.where("major = pivot OR primary <> major").select("pivot", "member", "primary")
+    alone = checkpointed(alone.join(near.select("pivot", "member"), ["pivot", "member"], "left_anti"))
+    if alone.isEmpty():
+        return near
+    blocks = checkpointed(alone.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / TREE_SETS).cast("int").alias("blocks")))
+    home = alone.join(blocks, "pivot").select("pivot", "member", "primary", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("unit"), F.lit(0).alias("kind"), F.lit(0).alias("part"))
+    stream = large.join(blocks, "pivot").select("pivot", "member", "primary", F.explode(F.expr("sequence(0, blocks - 1)")).alias("unit"), F.lit(1).alias("kind"), F.pmod(F.xxhash64("member", F.lit(1)), F.col("pieces")).cast("int").alias("part"))
+    across = _by_slices(home.unionByName(stream), own, lambda part: _partnered_across(part.repartition(parts, *keys).sortWithinPartitions(*keys, "kind", "part"), percent))
+    return near.unionByName(across).distinct()
+
+
 def _read_sets(unit: pa.Table) -> tuple[list[int], list[np.ndarray]]:
     """Keys and sets of a unit's texts; a text that belongs to another set of the same id is left out."""
     found: dict[int, np.ndarray] = {}
@@ -604,12 +671,10 @@ def similar_documents(df: DataFrame, percent: int = 75, text: str = "text", id_c
     per_bundle = per_bundle.agg(F.sum("k").alias("m"), F.count(F.lit(1)).alias("kinds"), F.max_by("primary", F.struct("k", -F.col("primary"))).alias("major"))
     per_bundle = checkpointed(per_bundle.where("kinds > 1 OR major = pivot"))
     stars = checkpointed(stars.join(per_bundle.select("pivot", "m", "major"), "pivot"))
-    small = stars.where(F.col("m") <= TREE_SETS).select("pivot", "member", "primary")
-    small = small.join(own.select(F.col("key").alias("member"), "n", "bits"), "member")
-    small = _partnered(small.repartition(parts, "pivot").sortWithinPartitions("pivot"), percent)
-    large = stars.where(F.col("m") > TREE_SETS)
-    flagged = small.unionByName(large.where("major = pivot").select("pivot", "member", "primary"))
-    flagged = checkpointed(flagged.join(own.select(F.col("key").alias("member"), "id"), "member"))
+    left = _flagged(stars, own, percent, parts).join(per_bundle.select("pivot", "m", "major"), "pivot")
+    left = checkpointed(left.join(own.select(F.col("key").alias("member"), "id"), "member"))
+    apart = (F.col("m") > TREE_SETS) & (F.col("major") != F.col("pivot"))
+    flagged = left.where(~apart).select("member", "pivot", "primary", "id")
     counts = flagged.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     flagged = checkpointed(flagged.join(counts, "pivot"))
     bodies = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
@@ -620,7 +685,7 @@ def similar_documents(df: DataFrame, percent: int = 75, text: str = "text", id_c
     links = within.where("b IS NOT NULL").select("a", "b")
     # What is left to compare across: sets that no chunk connects to the pivot, and those of another primary bundle
     # in large bundles whose sets mostly meet elsewhere.
-    mixed = large.where("major <> pivot").select("pivot", "member", "primary", "major", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
+    mixed = left.where(apart).select("pivot", "member", "primary", "major", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
     left = within.where("b IS NULL").select("pivot", F.col("a").alias("member"), F.col("root").alias("label")).unionByName(mixed.where("primary <> major").select("pivot", "member", F.col("member").alias("label")))
     left = checkpointed(left.groupBy("pivot", "member").agg(F.min("label").alias("label")))
     if not left.isEmpty():

@@ -95,6 +95,31 @@ def test_ngram_join_of_variants_of_a_line_in_long_documents(spark, monkeypatch):
     assert sorted(map(tuple, similar_documents(df).collect())) == expected
 
 
+def test_ngram_join_of_sets_that_meet_by_chance(spark, monkeypatch):
+    """One shingle in common makes a large bundle, but only the texts of sets with a possible partner travel, and bitmaps a slice at a time."""
+    monkeypatch.setattr(ngram_join, "TREE_SETS", 8)
+    monkeypatch.setattr(ngram_join, "SLICE_BYTES", 1)
+    monkeypatch.setattr(ngram_join, "SLICE_SHARE", 1)
+    draw, travelled, worked = random.Random(5), [], []
+    line = words(draw, 5)
+    while next(shingle_sets([" ".join(line).encode()]))[0] >> 56:  # stands first
+        line = words(draw, 5)
+    texts = [" ".join([*words(draw, 20), *line, *words(draw, 20)]) for _ in range(26)]
+    texts += [f"{texts[0]} more", f"{texts[0]} and more"]
+    with_texts, partnered = ngram_join._with_texts, ngram_join._partnered_across
+
+    def seen(bodies, rows):
+        travelled.append(rows.select("member").distinct().count())
+        return with_texts(bodies, rows)
+
+    monkeypatch.setattr(ngram_join, "_with_texts", seen)
+    monkeypatch.setattr(ngram_join, "_partnered_across", lambda members, percent: worked.append(members.count()) or partnered(members, percent))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, similar_documents(df).collect())) == helpers.similar_groups(range(len(texts)), texts)
+    assert travelled and max(travelled) <= 6
+    assert len(worked) > 2 and max(worked) < sum(worked)
+
+
 def test_tree_loses_no_pair():
     draw = random.Random(7)
     texts = [t.encode() for t in documents(3, 60) if t and t.strip()]
