@@ -20,11 +20,10 @@ from pyspark.sql import functions as F
 
 from cardspark.operators import encode, stats
 from cardspark.operators.encode import Encoding
+from cardspark.session import written
 
 #: Schema of conditions: comparisons take one value, ``in`` and ``not in`` several, null tests none; numbers as text.
 CONDITIONS = "query_id long, attribute string, op string, values array<string>"
-#: Rows that a tree's structure is learnt from, at most, unless they are grouped; tables of counts always come from all rows.
-STRUCTURE_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -100,15 +99,10 @@ def pair_counts(df: DataFrame, encodings: list[Encoding], pairs: list[tuple[str,
     return rows.mapInArrow(counted, "pair int, x int, y int, n long").groupBy("pair", "x", "y").agg(F.sum("n").alias("n"))
 
 
-def learn_edges(df: DataFrame, encodings: list[Encoding], rows: int, root: str | None = None, sample_rows: int = STRUCTURE_ROWS, seed: int = 17, weight: str | None = None) -> list[tuple[str, str]]:
-    """Directed edges of the Chow-Liu tree; beyond ``sample_rows`` rows it is learnt from a sample of about as many, of grouped rows from all."""
-    columns = [e.column for e in encodings]
-    if len(columns) < 3:  # only one tree
-        return [(root or columns[0], next(c for c in columns if c != (root or columns[0])))] if len(columns) == 2 else []
-    part = df if rows <= sample_rows or weight else df.sample(fraction=sample_rows / rows, seed=seed)
-    pairs = list(combinations(columns, 2))
+def learn_edges(counts: DataFrame, columns: list[str], pairs: list[tuple[str, str]], root: str | None = None) -> list[tuple[str, str]]:
+    """Directed edges of the Chow-Liu tree over ``columns``, from the counts of ``pair_counts`` for all pairs of them."""
     whole, by_x, by_y = (Window.partitionBy("pair", *extra) for extra in ([], ["x"], ["y"]))
-    counts = pair_counts(part, encodings, pairs, weight).select("pair", "n", F.sum("n").over(whole).alias("t"), F.sum("n").over(by_x).alias("nx"), F.sum("n").over(by_y).alias("ny"))
+    counts = counts.select("pair", "n", F.sum("n").over(whole).alias("t"), F.sum("n").over(by_x).alias("nx"), F.sum("n").over(by_y).alias("ny"))
     gain = F.col("n") / F.col("t") * F.log(F.col("n").cast("double") * F.col("t") / (F.col("nx").cast("double") * F.col("ny")))
     found = stats.maximum_tree([(*pairs[r["pair"]], r["mi"]) for r in counts.groupBy("pair").agg(F.sum(gain).alias("mi")).collect()])  # a row for each pair of columns
     near: dict[str, list[str]] = {c: [] for c in columns}
@@ -129,22 +123,33 @@ def learn_edges(df: DataFrame, encodings: list[Encoding], rows: int, root: str |
     return edges
 
 
-def fit(df: DataFrame, columns: list[str], n_mcv: int = 30, n_bins: int = 30, root: str | None = None, edges: list[tuple[str, str]] | None = None, sample_rows: int = STRUCTURE_ROWS, error: float | None = 0.02, weight: str | None = None) -> TreeModel:
-    """A model of ``columns``: encodings, structure (unless ``edges`` are given) and counts, each from Spark jobs.
+def fit(df: DataFrame, columns: list[str], n_mcv: int = 30, n_bins: int = 30, root: str | None = None, edges: list[tuple[str, str]] | None = None, error: float | None = 0.02, weight: str | None = None) -> TreeModel:
+    """A model of ``columns``: encodings, structure (unless ``edges`` are given) and counts, each from Spark jobs over all rows.
 
+    Where the structure is to be learnt, the codes of all pairs are counted once, for it and for the model's tables.
     Nulls are a code of their own, so the whole domain always has probability 1.  An empty table gives
     a model without rows.  Rows may be grouped, with the number of rows that each stands for in ``weight``.
     """
     encodings = encode.encode_table(df, columns, n_mcv, n_bins, error, weight=weight)
     rows = sum(line[5] for line in encodings[0].lines) if encodings else 0
-    edges = learn_edges(df, encodings, rows, root, sample_rows, weight=weight) if edges is None else edges
     size = {e.column: e.size for e in encodings}
-    pairs = [*edges, *((c, c) for c in columns)]
-    joint = [[[0] * size[b] for _ in range(size[a])] for a, b in pairs]
-    for r in pair_counts(df, encodings, pairs, weight).collect():  # at most the product of two columns' codes for each edge
-        joint[r["pair"]][r["x"]][r["y"]] = r["n"]
-    single = {c: [joint[len(edges) + k][i][i] for i in range(size[c])] for k, c in enumerate(columns)}
-    return TreeModel(rows, tuple(encodings), tuple(edges), dict(zip(edges, joint)), single)
+    if edges is None and len(columns) < 3:  # only one tree
+        edges = [(root or columns[0], next(c for c in columns if c != (root or columns[0])))] if len(columns) == 2 else []
+    linked = list(combinations(columns, 2)) if edges is None else edges
+    pairs = [*linked, *((c, c) for c in columns)]
+    counts = pair_counts(df, encodings, pairs, weight)
+    if edges is None:
+        counts = written(counts)  # at most the product of two columns' codes for each pair
+        edges = learn_edges(counts.where(F.col("pair") < len(linked)), columns, linked, root)
+    # A pair may be counted the other way round than its edge leads.
+    wanted = {**{k: p for k, p in enumerate(pairs) if p in edges or p[0] == p[1]}, **{pairs.index((b, a)): (a, b) for a, b in edges if (a, b) not in pairs}}
+    joint = {p: [[0] * size[p[1]] for _ in range(size[p[0]])] for p in wanted.values()}
+    for r in counts.where(F.col("pair").isin(list(wanted))).collect():  # at most the product of two columns' codes for each edge
+        pair = wanted[r["pair"]]
+        i, j = (r["x"], r["y"]) if pair == pairs[r["pair"]] else (r["y"], r["x"])
+        joint[pair][i][j] = r["n"]
+    single = {c: [joint[c, c][i][i] for i in range(size[c])] for c in columns}
+    return TreeModel(rows, tuple(encodings), tuple(edges), {p: joint[p] for p in edges}, single)
 
 
 def tables(spark: SparkSession, model: TreeModel) -> DataFrame:

@@ -254,3 +254,21 @@ def test_an_edge_model_reads_its_tables_once(spark):
     child = spark.createDataFrame([(k % 60, f"c{k % 3}", k % 5) for k in range(300)], "fk long, b string, c long").select(seen.asNondeterministic()("fk").alias("fk"), "b", "c")
     model = ensemble.fit_edge(parent, child, EDGE, {"parent": ["a"], "child": ["b", "c"]}).model
     assert model.rows == 300 and calls.value <= 2 * 300
+
+
+def test_a_tree_is_learnt_from_all_rows(spark, monkeypatch):
+    """More rows than were once sampled; z follows x, but for one row in which it follows y."""
+    def sample(*a, **k):
+        raise AssertionError("rows were sampled")
+
+    x, other = F.col("id") % 2, F.col("id") >= 200_000
+    df = spark.range(250_000).select(x.alias("x"), F.when(other, 1 - x).otherwise(x).alias("y"), F.when(F.col("id") >= 224_999, 1 - x).otherwise(x).alias("z"))
+    monkeypatch.setattr(type(df), "sample", sample)
+    for columns in (["x", "y", "z"], ["z", "y", "x"]):
+        model = trees.fit(df, columns)
+        assert {frozenset(e) for e in model.edges} == {frozenset("xz"), frozenset("yz")}
+        for a, b in model.edges:
+            codes = {c: {v: k for k, v in ((line[0], line[2]) for line in model.encoding(c).lines) if v is not None} for c in (a, b)}
+            counts = {(codes[a][float(r[a])], codes[b][float(r[b])]): r["count"] for r in df.groupBy(a, b).count().collect()}
+            table = model.joint[a, b]
+            assert {(i, j): n for i, row in enumerate(table) for j, n in enumerate(row) if n} == counts
