@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cardspark.llm import range_join
@@ -63,6 +64,33 @@ def test_range_join_of_many_lengths(spark, monkeypatch):
     assert sorted(map(tuple, linked_vectors(df, 0.95).collect())) == cosine_groups(table)
 
 
+def test_range_join_of_vectors_that_pivots_do_not_part(spark, monkeypatch):
+    """Vectors that visit nearly all cells: there are fewer cells, and copies are passed on some at a time."""
+    draw = np.random.default_rng(8)
+    base = draw.normal(size=(2000, 64))
+    base[1000:1200] = base[:200] + draw.normal(scale=0.2, size=(200, 64))
+    monkeypatch.setattr(range_join, "CELL_ROWS", 20)
+    monkeypatch.setattr(range_join, "BLOCK_ROWS", 20)
+    table = [(k, [float(x) for x in v.astype(np.float32)]) for k, v in enumerate(base)]
+    df = spark.createDataFrame([(k, v, 0, 1, 2) for k, v in table], SCHEMA).repartition(3)
+    sent, placed = [], range_join._placed
+    pivots, gaps = {64: range_join.unit(base[:100])}, {64: range_join._gaps(range_join.unit(base[:100]))}
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([1] * 2000), pa.array([v for _, v in table], pa.list_(pa.float32()))], names=["id", "n", "v"])
+    monkeypatch.setattr(range_join, "PLACE_BYTES", 1 << 16)
+    for out in placed(iter([batch]), pivots, gaps, math.acos(0.95), "<f4"):
+        sent.append(out.num_rows)
+        assert out.nbytes <= 1 << 17
+    assert sum(sent) > 20 * 2000
+    near = range_join.unit(base.astype(np.float32).astype(np.float64))
+    near = near @ near.T >= 0.95
+    expected = near.sum(axis=1) - 1
+    assert expected.sum() > 100
+    vectors = df.selectExpr("vec_id AS id", "1L AS n", "embedding AS v")
+    assert len(range_join._pivots(vectors, 2000, math.acos(0.95))[64]) <= 2 * range_join.MOST_COPIES + 1
+    found = dict(range_join.linked_vectors(df, 0.95).select("vec_id", "n_links").collect())
+    assert [found[k] for k in range(2000)] == expected.tolist()
+
+
 def test_range_join_of_rows_repeated_under_one_id(spark):
     df = spark.createDataFrame([(7, [1.0, 0.0], 0, 0, 0), (7, [1.0, 0.0], 0, 0, 0), (9, [1.0, 0.1], 0, 0, 0), (None, [1.0, 0.0], 0, 0, 0)], SCHEMA)
     assert sorted(map(tuple, linked_vectors(df, 0.95).collect()), key=str) == sorted([(7, 2, 7, True), (7, 2, 7, True), (9, 2, 7, False), (None, 2, 7, None)], key=str)
