@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ BLOCK_ROWS, STREAM_ROWS, CELL_ROWS, MOST_PIVOTS = 4096, 65536, 4096, 1024
 #: Blocks and streams of this part of all vectors, if that is more; bytes that a block holds at most; copies of a vector
 #: beyond which there are fewer pivots, and vectors that these copies are counted on.
 BLOCK_SHARE, STREAM_SHARE, BLOCK_BYTES, MOST_COPIES, PROBED = 8, 4, 32 << 20, 8, 512
+#: Copies that are on the way at once: this many bytes, or so many times those of all vectors.
+PASS_BYTES, PASS_SHARE = 256 << 20, 3
 #: Streamed vectors and vectors of a block compared at once; bytes of distances to pivots, or of placed vectors, at once.
 STEP_ROWS, TILE_ROWS, PLACE_BYTES = 1024, 2048, 8 << 20
 SLACK = 1e-9
@@ -212,8 +215,12 @@ def _links(vectors: DataFrame, cosine: float) -> DataFrame:
     stream_rows = max(STREAM_ROWS, total // STREAM_SHARE)
     homes, visitors = F.count(F.when(F.col("home"), 1)), F.count(F.lit(1))
     lines = placed.groupBy("size", "cell").agg(homes.alias("h"), visitors.alias("all")).where("h > 0")
-    lines = checkpointed(lines.select("size", "cell", F.ceil(F.col("h") / block_rows).cast("int").alias("blocks"), F.ceil(F.col("all") / stream_rows).cast("int").alias("streams")))
-    known = lines.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("blocks") * F.col("streams")), F.lit(0)).alias("units")).first()
+    lines = checkpointed(lines.select("size", "cell", "h", "all", F.ceil(F.col("h") / block_rows).cast("int").alias("blocks"), F.ceil(F.col("all") / stream_rows).cast("int").alias("streams")))
+    width = F.col("size") * int(kind[-1]) + 64
+    copies = F.col("h") * (F.col("streams") + (F.col("blocks") - 1) / 2) + (F.col("all") - F.col("h")) * F.col("blocks")
+    known = lines.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(x), F.lit(0)).alias(c) for c, x in (("units", F.col("blocks") * F.col("streams")), ("whole", F.col("h") * width), ("sent", copies * width)))).first()
+    passes = max(1, math.ceil(known["sent"] / max(PASS_BYTES, PASS_SHARE * known["whole"])))
+    lines = lines.select("size", "cell", "blocks", "streams")
     lines = F.broadcast(lines) if known["n"] <= BROADCAST_CELLS else lines
     dealt = placed.join(lines, ["size", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("stream", F.pmod(F.xxhash64("id", F.lit(1)), F.col("streams")).cast("int"))
     # A home vector is held by every stream of its block, and streams past the blocks before its own; a visitor streams past all blocks.
@@ -221,14 +228,22 @@ def _links(vectors: DataFrame, cosine: float) -> DataFrame:
     passing = F.expr("if(if(home, block, blocks) > 0, transform(sequence(0, if(home, block, blocks) - 1), b -> struct(b AS block, stream, 1 AS kind)), array())")
     work = dealt.select("size", "cell", "id", "n", "vector", F.explode(F.concat(held, passing)).alias("x")).select("size", "cell", "x.block", "x.stream", "x.kind", "id", "n", "vector")
     keys = ["size", "cell", "block", "stream"]
-    work = work.repartition(max(1, min(2 * known["units"], 4 * shuffle_partitions(spark))), *keys).sortWithinPartitions(*keys, "kind", "id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _met(batches, cosine, kind):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["id", "links", "other"])
 
-    return work.mapInArrow(meet, "id long, links long, other long")
+    def met(part: DataFrame) -> DataFrame:
+        part = part.repartition(max(1, min(2 * known["units"], 4 * shuffle_partitions(spark))), *keys).sortWithinPartitions(*keys, "kind", "id")
+        return part.mapInArrow(meet, "id long, links long, other long")
+
+    if passes == 1:
+        return met(work)
+    # Some units of work at a time, so that the copies on the way grow no faster than the vectors.
+    turn = F.pmod(F.xxhash64(*keys), F.lit(passes))
+    found = [checkpointed(met(work.where(turn == k))) for k in range(passes)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def _met(batches: Iterator[pa.RecordBatch], cosine: float, kind: str = "<f8") -> Iterator[list[tuple[int, int, int]]]:

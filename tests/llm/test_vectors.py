@@ -87,8 +87,12 @@ def test_range_join_of_vectors_that_pivots_do_not_part(spark, monkeypatch):
     assert expected.sum() > 100
     vectors = df.selectExpr("vec_id AS id", "1L AS n", "embedding AS v")
     assert len(range_join._pivots(vectors, 2000, math.acos(0.95))[64]) <= 2 * range_join.MOST_COPIES + 1
+    monkeypatch.setattr(range_join, "PASS_BYTES", 1)
+    passes, met = [], range_join.checkpointed
+    monkeypatch.setattr(range_join, "checkpointed", lambda x: passes.append(x.columns == ["id", "links", "other"]) or met(x))
     found = dict(range_join.linked_vectors(df, 0.95).select("vec_id", "n_links").collect())
     assert [found[k] for k in range(2000)] == expected.tolist()
+    assert sum(passes) > 2  # those of each pass, and all of them
 
 
 def test_range_join_of_rows_repeated_under_one_id(spark):
