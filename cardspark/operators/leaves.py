@@ -29,7 +29,8 @@ def adaptive_histogram(df: DataFrame, column: str, bins: int = MOST_VALUES) -> D
     if one["d"] <= bins or one["hi"] == one["lo"]:
         return histogram(df, column)
     x = F.col(column).cast("double")
-    code = F.least(F.floor((x - one["lo"]) / ((one["hi"] - one["lo"]) / bins)), F.lit(bins - 1))
+    # The least value's last digits may differ as well: what lies below the one found belongs to the first bin.
+    code = F.greatest(F.lit(0), F.least(F.floor((x - one["lo"]) / ((one["hi"] - one["lo"]) / bins)), F.lit(bins - 1)))
     binned = df.where(x.isNotNull()).groupBy(code.alias("__code")).agg(F.avg(x).alias("__mean"), F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("__total"))  # one row
     rows = cumulated(binned.withColumnRenamed("__code", "value")).join(F.broadcast(total))
